@@ -47,17 +47,17 @@ def expand_to_dates(user_days: DataFrame, dates: Column) -> DataFrame:
     ``user_days`` has one row per user and active ``date`` with ``next_date`` (null for the
     last). Days that are not in ``dates`` give no rows.
     """
-    start = F.array_position(dates, F.col("date"))
-    follow = F.nullif(F.array_position(dates, F.col("next_date")), F.lit(0))
-    stop = F.coalesce(follow, F.size(dates) + 1)
-    return (
-        user_days.filter(start > 0)
-        .withColumn("snapshot_date", F.explode(F.slice(dates, start.cast("int"), (stop - start).cast("int"))))
-    )
+    known = user_days.withColumn("_dates", dates)
+    start = F.array_position("_dates", F.col("date"))
+    follow = F.nullif(F.array_position("_dates", F.col("next_date")), F.lit(0))
+    stop = F.coalesce(follow, F.size("_dates") + 1)
+    covered = F.slice("_dates", start.cast("int"), (stop - start).cast("int"))
+    return known.filter(start > 0).select(*user_days.columns, F.explode(covered).alias("snapshot_date"))
 
 
-def user_window() -> W:
-    return W.partitionBy("user_id").orderBy("date")
+def user_window(order: Sequence[str] = ("date",)) -> W:
+    """A user's active days in time order; ``order`` names the columns they are sorted by."""
+    return W.partitionBy("user_id").orderBy(*order)
 
 
 def with_next_date(user_days: DataFrame) -> DataFrame:
@@ -75,24 +75,27 @@ def snapshot_spine(events: DataFrame, horizon_days: int = 0) -> DataFrame:
 # --- state that changes on active days ---------------------------------------------------------
 
 
-def running_user_totals(user_days: DataFrame) -> DataFrame:
-    """Running totals per user: events, active days, clicks, purchases, spend, first day."""
-    so_far = user_window().rowsBetween(W.unboundedPreceding, 0)
-    out = (
-        user_days.withColumn("total_events", F.sum("events").over(so_far))
-        .withColumn("unique_days", F.count(F.lit(1)).over(so_far))
-        .withColumn("total_clicks", F.sum("clicks").over(so_far))
-        .withColumn("total_purchases", F.sum("purchases").over(so_far))
-        .withColumn("total_spent", money(F.sum("spent").over(so_far)))
-        .withColumn("first_day", F.min("date").over(so_far))
-    )
+def running_user_totals(user_days: DataFrame, order: Sequence[str] = ("date",)) -> DataFrame:
+    """Running totals per user (events, active days, clicks, purchases, spend, first day) and
+    the next active day, all in one window pass."""
+    days = user_window(order)
+    so_far = days.rowsBetween(W.unboundedPreceding, 0)
+    totals = {
+        "total_events": F.sum("events").over(so_far),
+        "unique_days": F.count(F.lit(1)).over(so_far),
+        "total_clicks": F.sum("clicks").over(so_far),
+        "total_purchases": F.sum("purchases").over(so_far),
+        "total_spent": money(F.sum("spent").over(so_far)),
+        "first_day": F.min("date").over(so_far),
+        "next_date": F.lead("date").over(days),
+    }
     if "new_items" in user_days.columns:
-        out = out.withColumn("distinct_items", F.coalesce(F.sum("new_items").over(so_far), F.lit(0)))
-    return out
+        totals["distinct_items"] = F.coalesce(F.sum("new_items").over(so_far), F.lit(0))
+    return user_days.withColumns(totals)
 
 
 def next_purchase(user_days: DataFrame) -> DataFrame:
-    """Day and price of the first purchase on a later day (``next_day``, ``next_price``).
+    """First purchase on a later day, as ``next_purchase`` (day, price).
 
     ``first_price`` is non-null on days with a purchase. Walking the days backwards keeps the
     frame growing, so each row is visited once.
@@ -101,23 +104,22 @@ def next_purchase(user_days: DataFrame) -> DataFrame:
     bought = F.when(
         F.col("first_price").isNotNull(), F.struct(F.col("date").alias("day"), F.col("first_price").alias("price"))
     )
-    return (
-        user_days.withColumn("_next", F.last(bought, ignorenulls=True).over(later))
-        .withColumn("next_day", F.col("_next.day"))
-        .withColumn("next_price", F.col("_next.price"))
-        .drop("_next")
-    )
+    return user_days.withColumn("next_purchase", F.last(bought, ignorenulls=True).over(later))
 
 
 def purchase_targets(grid: DataFrame, horizon_days: int) -> DataFrame:
-    """Targets from ``next_day``/``next_price``: a purchase 1..horizon days after the snapshot."""
-    days = F.datediff("next_day", "snapshot_date")
+    """Targets from ``next_purchase``: it counts 1..horizon days after the snapshot."""
+    return grid.withColumns(target_columns(horizon_days))
+
+
+def target_columns(horizon_days: int) -> dict[str, Column]:
+    days = F.datediff("next_purchase.day", "snapshot_date")
     hit = F.coalesce(days.between(1, horizon_days), F.lit(False))
-    return (
-        grid.withColumn("will_purchase_next_7d", F.when(hit, 1).otherwise(0).cast("bigint"))
-        .withColumn("days_to_next_purchase", F.when(hit, days).otherwise(NO_PURCHASE_DAYS).cast("bigint"))
-        .withColumn("next_purchase_amount", F.when(hit, F.col("next_price")).otherwise(F.lit(0.0)))
-    )
+    return {
+        "will_purchase_next_7d": F.when(hit, 1).otherwise(0).cast("bigint"),
+        "days_to_next_purchase": F.when(hit, days).otherwise(NO_PURCHASE_DAYS).cast("bigint"),
+        "next_purchase_amount": F.when(hit, F.col("next_purchase.price")).otherwise(F.lit(0.0)),
+    }
 
 
 def recent_type_counts(
@@ -125,18 +127,17 @@ def recent_type_counts(
 ) -> DataFrame:
     """Per user and active day: last event and type counts of the last ``length`` events so far.
 
-    Columns: user_id, date, event_type, [region, item_id], type_0..type_{n-1}, and those of
-    ``extra``, which has one row per (user_id, date). A null type takes a slot of the ``length``
-    but is not counted.
+    Columns: user_id, date, ts, event_id, event_type, [region, item_id], type_0..type_{n-1}, and
+    those of ``extra``, which has one row per (user_id, date). A null type takes a slot of the
+    ``length`` but is not counted. Rows come sorted by (ts, event_id) within the user.
+
+    A count over the last rows is the running count minus the running count ``length`` rows
+    back: constant work per row, where a sliding frame would add up the whole frame again.
     """
     check_sequence_length(length)
     context = [c for c in ("region", "item_id") if c in events.columns]
-    slim = events.select("user_id", "date", "ts", "event_id", "event_type", *context)
-    latest = W.partitionBy("user_id").orderBy(*ev.event_order()).rowsBetween(-(length - 1), 0)
-    counted = [
-        F.count_if(ev.is_type(name)).over(latest).alias(f"type_{i}") for i, name in enumerate(vocabulary)
-    ]
-    recent = ev.last_events_of_day(slim, length)
+    kept = ["user_id", "date", "ts", "event_id", "event_type", *context]
+    recent = ev.last_events_of_day(events.select(*kept), length)
     carried: list[str] = []
     if extra is not None:
         keys = ["user_id", "date"]
@@ -145,8 +146,18 @@ def recent_type_counts(
         # Only (user_id, date) are join keys: both sides are already hashed by them.
         same_day = (F.col("user_id") == F.col("_user_id")) & (F.col("date") == F.col("_date"))
         recent = recent.join(side, same_day & (F.col("rn") == 1), "left")
+    if not vocabulary:
+        return recent.filter(F.col("rn") == 1).select(*kept, *carried)
+    along = user_window(["ts", "event_id"])
+    so_far = along.rowsBetween(W.unboundedPreceding, 0)
+    running = [F.count_if(ev.is_type(name)).over(so_far).alias(f"so_far_{i}") for i, name in enumerate(vocabulary)]
+    counts = [
+        (F.col(f"so_far_{i}") - F.lag(f"so_far_{i}", length, 0).over(along)).alias(f"type_{i}")
+        for i in range(len(vocabulary))
+    ]
     return (
-        recent.select("user_id", "date", "rn", "event_type", *context, *carried, *counted)
+        recent.select(*kept, *carried, "rn", *running)
+        .select(*kept, *carried, "rn", *counts)
         .filter(F.col("rn") == 1)
         .drop("rn")
     )
@@ -196,11 +207,9 @@ def rolling_activity(
 
 def running_totals(events: DataFrame) -> DataFrame:
     """Running totals of each user on every observed date."""
-    days = running_user_totals(ev.user_day(events))
+    days = running_user_totals(ev.user_day(events))  # carries next_date
     totals = ["total_events", "unique_days", "total_clicks", "total_purchases", "total_spent"]
-    return expand_to_dates(with_next_date(days), date_list(events)).select(
-        "user_id", "snapshot_date", *totals
-    )
+    return expand_to_dates(days, date_list(events)).select("user_id", "snapshot_date", *totals)
 
 
 def rolling_on_spine(events: DataFrame, windows: Iterable[int]) -> DataFrame:

@@ -447,7 +447,7 @@ def derived_ratios(spark, sf_dir):
 )
 def recency(spark, sf_dir):
     grid = hist.expand_to_dates(
-        hist.with_next_date(hist.running_user_totals(ev.user_day(loaded(spark, sf_dir)))),
+        hist.running_user_totals(ev.user_day(loaded(spark, sf_dir))),
         hist.date_list(loaded(spark, sf_dir)),
     )
     return grid.select(
