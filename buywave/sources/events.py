@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from buywave.operators.events import normalize_loaded
 from buywave.schemas import EVENT_COLUMNS
@@ -69,14 +70,24 @@ def export_events(
     write_event_parts(export_window(events, now, days), path, rows_per_file)
 
 
-def load_events(spark: SparkSession, path: str, strict: bool = True, pattern: str = PART_PATTERN) -> DataFrame:
+def load_events(
+    spark: SparkSession,
+    path: str,
+    strict: bool = True,
+    pattern: str = PART_PATTERN,
+    schema: StructType | None = None,
+) -> DataFrame:
     """Normalised events of all Parquet parts below ``path``.
 
     Strict loading fails on a corrupt part; otherwise corrupt parts are skipped. No parts at
-    all is a FileNotFoundError in both cases.
+    all is a FileNotFoundError in both cases. Without a ``schema`` lenient loading merges the
+    readable footers (a distributed job), since any single one may be corrupt.
     """
     reader = spark.read.option("pathGlobFilter", pattern)
-    reader = reader.option("ignoreCorruptFiles", "false" if strict else "true")
+    if not strict:
+        reader = reader.option("ignoreCorruptFiles", "true").option("mergeSchema", str(schema is None).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
     try:
         parts = reader.parquet(path)
     except AnalysisException as error:
