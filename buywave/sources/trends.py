@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from buywave.operators.trends import daily_series, normalize_types, trend_features
+from buywave.operators.trends import daily_series, normalize_types, trend_features, trend_stats
 from buywave.schemas import TREND_DAILY, TREND_RESPONSE, TRENDS
 
 
@@ -35,3 +35,8 @@ def load_daily_trends(spark: SparkSession, path: str) -> DataFrame:
     except Exception:  # an unreadable footer surfaces as a Java error, not as AnalysisException
         return spark.createDataFrame([], TREND_DAILY)
     return daily_series(stored)
+
+
+def write_load_stats(trends: DataFrame, path: str) -> None:
+    """Write the load statistics of a trend table (records, date range, queries, regions) as JSON."""
+    trend_stats(trends).coalesce(1).write.mode("overwrite").json(path)

@@ -11,6 +11,7 @@ from buywave.operators import audience as ops
 from buywave.operators import calibration, metrics, prep
 from buywave.plans.audience import audience
 from buywave.plans.snapshots import daily_snapshot, training_snapshots
+from buywave.session import ensure_checkpoint_dir
 from buywave.sources.users import cast_to_string, user_ids
 from query_catalog import fixtures as fixture
 from query_catalog.event_queries import loaded
@@ -466,8 +467,11 @@ ROUNDS = {"maxIter": 10}
 
 
 def _fitted(spark, sf_dir):
+    """Models on the training rows, which are materialised once, as a training table would be."""
     events = loaded(spark, sf_dir)
-    model = purchase.fit(training_snapshots(events), classifier=ROUNDS, regressor=ROUNDS)
+    ensure_checkpoint_dir(spark)
+    rows = training_snapshots(events).checkpoint()
+    model = purchase.fit(rows, classifier=ROUNDS, regressor=ROUNDS)
     return model, daily_snapshot(events)
 
 

@@ -80,6 +80,9 @@ def test_trend_master_is_written_once(spark, tmp_path):
     assert n == points.count() and "trend_slope" in first.columns
     assert trend_source.write_trends_once(points.limit(1), path).count() == n
     assert trend_source.load_daily_trends(spark, path).count() == 30
+    trend_source.write_load_stats(first, str(tmp_path / "stats"))
+    stats = spark.read.json(str(tmp_path / "stats")).first()
+    assert stats["total_records"] == n and stats["regions"] == ["UA-30", "UA-40", "UA-50"]
 
 
 def test_unreadable_trends_give_none(spark, tmp_path):
