@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,7 +60,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder name below the checkpoint folder, for tables written to cut lineage."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)

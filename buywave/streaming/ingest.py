@@ -16,7 +16,6 @@ MESSAGE_SCHEMA = (
     "event_id string, event_type string, timestamp string, session_id string, "
     "user_id string, region string, properties string, _corrupt string"
 )
-BATCH_ROWS = 5_000
 BATCH_SECONDS = 0.5
 
 
@@ -25,6 +24,7 @@ def kafka_source(
 ) -> DataFrame:
     """(value, ingest_ts) of a Kafka topic from the earliest offset.
 
+    ``rows_per_batch`` bounds a micro-batch over all partitions (the trigger bounds its time).
     Needs the Kafka connector on the class path.
     """
     reader = (
@@ -151,8 +151,10 @@ def start_append(
 
     Runs a micro-batch every ``seconds``, or drains what is there and stops.
     """
-    assert EVENT_COLUMNS == events.columns, "events must have the event columns"
-    return start_parquet(events.withColumn("date", F.to_date("ts")), path, checkpoint, seconds, available_now, name, ["date"])
+    if events.columns != EVENT_COLUMNS:
+        raise ValueError(f"events must have the columns {EVENT_COLUMNS}")
+    dated = events.withColumn("date", F.to_date("ts"))
+    return start_parquet(dated, path, checkpoint, seconds, available_now, name, ["date"])
 
 
 def start_parquet(
