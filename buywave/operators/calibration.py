@@ -53,8 +53,6 @@ def calibrate(
 
 
 def calibrate_scores(df: DataFrame, label: str, score: str, output: str = "calibrated") -> DataFrame:
-    """Fit on ``df`` and add the calibrated score; the two parameters are scalar subqueries."""
-    fitted = beta_moments(df, label, score)
-    return df.withColumn(
-        output, calibrate(score, fitted.select("alpha").scalar(), fitted.select("beta").scalar())
-    )
+    """Fit on ``df`` and add the calibrated score; the parameters are one scalar subquery."""
+    fitted = beta_moments(df, label, score).select(F.struct("alpha", "beta")).scalar()
+    return df.withColumn(output, calibrate(score, fitted["alpha"], fitted["beta"]))

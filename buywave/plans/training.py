@@ -7,13 +7,21 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from buywave.models import purchase
-from buywave.operators.splits import time_split
+from buywave.operators.splits import target_diagnostics, time_split
+from buywave.session import ensure_checkpoint_dir
 from buywave.sources import snapshots as store
 
 
-def save_training_set(snapshots: DataFrame, path: str) -> None:
-    """Split snapshots by date and write them partitioned by split."""
-    store.write_splits(time_split(snapshots), path)
+def save_training_set(snapshots: DataFrame, path: str) -> DataFrame:
+    """Split snapshots by date, write them partitioned by split, and return their diagnostics.
+
+    The snapshots are built once: the date list, the rows and the diagnostics all read the
+    checkpoint.
+    """
+    ensure_checkpoint_dir(snapshots.sparkSession)
+    rows = snapshots.checkpoint()
+    store.write_splits(time_split(rows), path)
+    return target_diagnostics(rows)
 
 
 def train(

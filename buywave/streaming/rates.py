@@ -40,15 +40,14 @@ def event_rate(events: DataFrame, time: str = "ts") -> DataFrame:
         .groupBy("tick")
         .agg(F.count(F.lit(1)).alias("events"))
     )
-    first = ticks.agg(F.min("tick")).scalar()
+    summed = running_totals(ticks, ["tick"], {"so_far": "events"})
+    first = summed.agg(F.min("tick")).scalar()
     reach = TICK_SECONDS * (RECENT_TICKS - 1)
     # The trailing sum runs per chunk of time. A tick close to the end of its chunk also goes
     # to the next chunk, as context only.
     own = F.floor(F.col("tick") / CHUNK_SECONDS)
     also = F.floor((F.col("tick") + reach) / CHUNK_SECONDS)
-    chunked = running_totals(ticks, ["tick"], {"so_far": "events"}).withColumn(
-        "chunk", F.explode(F.array_distinct(F.array(own, also)))
-    )
+    chunked = summed.withColumn("chunk", F.explode(F.array_distinct(F.array(own, also))))
     recent = W.partitionBy("chunk").orderBy("tick").rangeBetween(-reach, 0)
     elapsed = (F.col("tick") - first) / TICK_SECONDS + 1
     return (
