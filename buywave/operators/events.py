@@ -156,11 +156,13 @@ def last_events_of_user(events: DataFrame, n: int) -> DataFrame:
     Two steps, per day and then per user, so that a user with very many events brings at most
     n rows per day into the second step.
     """
-    latest = W.partitionBy("user_id").orderBy(*event_order(descending=True))
+    latest = W.partitionBy("user_id").orderBy(F.desc("date"), "rn")
     return (
         last_events_of_day(events, n)
-        .withColumn("rn", F.row_number().over(latest))
-        .filter(F.col("rn") <= n)
+        .withColumn("_rank", F.row_number().over(latest))
+        .filter(F.col("_rank") <= n)
+        .drop("rn", "ts", "event_id")
+        .withColumnRenamed("_rank", "rn")
     )
 
 

@@ -55,9 +55,9 @@ def expand_to_dates(user_days: DataFrame, dates: Column) -> DataFrame:
     return known.filter(start > 0).select(*user_days.columns, F.explode(covered).alias("snapshot_date"))
 
 
-def user_window(order: Sequence[str] = ("date",)) -> W:
-    """A user's active days in time order; ``order`` names the columns they are sorted by."""
-    return W.partitionBy("user_id").orderBy(*order)
+def user_window() -> W:
+    """A user's active days in time order."""
+    return W.partitionBy("user_id").orderBy("date")
 
 
 def with_next_date(user_days: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def snapshot_spine(events: DataFrame, horizon_days: int = 0) -> DataFrame:
 # --- state that changes on active days ---------------------------------------------------------
 
 
-def running_user_totals(user_days: DataFrame, order: Sequence[str] = ("date",)) -> DataFrame:
+def running_user_totals(user_days: DataFrame) -> DataFrame:
     """Running totals per user (events, active days, clicks, purchases, spend, first day) and
     the next active day, all in one window pass."""
-    days = user_window(order)
+    days = user_window()
     so_far = days.rowsBetween(W.unboundedPreceding, 0)
     totals = {
         "total_events": F.sum("events").over(so_far),
@@ -127,17 +127,24 @@ def recent_type_counts(
 ) -> DataFrame:
     """Per user and active day: last event and type counts of the last ``length`` events so far.
 
-    Columns: user_id, date, ts, event_id, event_type, [region, item_id], type_0..type_{n-1}, and
-    those of ``extra``, which has one row per (user_id, date). A null type takes a slot of the
-    ``length`` but is not counted. Rows come sorted by (ts, event_id) within the user.
+    Columns: user_id, date, event_type, [region, item_id], type_0..type_{n-1}, and those of
+    ``extra``, which has one row per (user_id, date). A null type takes a slot of the ``length``
+    but is not counted. Rows come sorted by date within the user.
 
     A count over the last rows is the running count minus the running count ``length`` rows
     back: constant work per row, where a sliding frame would add up the whole frame again.
     """
     check_sequence_length(length)
     context = [c for c in ("region", "item_id") if c in events.columns]
-    kept = ["user_id", "date", "ts", "event_id", "event_type", *context]
-    recent = ev.last_events_of_day(events.select(*kept), length)
+    recent = ev.last_events_of_day(
+        events.select("user_id", "date", "ts", "event_id", "event_type", *context), length
+    )
+    last = F.col("rn") == 1
+    # From here the position in the day stands for (ts, event_id), and the context is only
+    # carried by the last event of the day.
+    recent = recent.select(
+        "user_id", "date", "rn", "event_type", *[F.when(last, F.col(c)).alias(c) for c in context]
+    )
     carried: list[str] = []
     if extra is not None:
         keys = ["user_id", "date"]
@@ -145,22 +152,18 @@ def recent_type_counts(
         side = extra.withColumnsRenamed({k: f"_{k}" for k in keys})
         # Only (user_id, date) are join keys: both sides are already hashed by them.
         same_day = (F.col("user_id") == F.col("_user_id")) & (F.col("date") == F.col("_date"))
-        recent = recent.join(side, same_day & (F.col("rn") == 1), "left")
+        recent = recent.join(side, same_day & last, "left")
+    kept = ["user_id", "date", "event_type", *context, *carried]
     if not vocabulary:
-        return recent.filter(F.col("rn") == 1).select(*kept, *carried)
-    along = user_window(["ts", "event_id"])
+        return recent.filter(last).select(*kept)
+    along = W.partitionBy("user_id").orderBy("date", F.desc("rn"))
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
     running = [F.count_if(ev.is_type(name)).over(so_far).alias(f"so_far_{i}") for i, name in enumerate(vocabulary)]
     counts = [
         (F.col(f"so_far_{i}") - F.lag(f"so_far_{i}", length, 0).over(along)).alias(f"type_{i}")
         for i in range(len(vocabulary))
     ]
-    return (
-        recent.select(*kept, *carried, "rn", *running)
-        .select(*kept, *carried, "rn", *counts)
-        .filter(F.col("rn") == 1)
-        .drop("rn")
-    )
+    return recent.select(*kept, "rn", *running).select(*kept, "rn", *counts).filter(last).drop("rn")
 
 
 def check_sequence_length(length: int) -> None:
