@@ -59,7 +59,10 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     Readable means: a JSON object whose ``properties``, if given, is an object.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = messages.withColumn("event", F.from_json("value", MESSAGE_SCHEMA, options))
+    # The one-element explode keeps later filters above the parse, so that each message is
+    # parsed once and not again for every condition.
+    event = F.from_json("value", MESSAGE_SCHEMA, options)
+    parsed = messages.select("*", F.explode(F.array(event)).alias("event"))
     properties = F.col("event.properties")
     given = F.get_json_object("value", "$.properties")
     readable = (
