@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,44 @@ def unit_interval(*columns: str | Column, seed: int) -> Column:
     parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("null")) for c in columns]
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def portions(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
+    """The batch's texts in portions of some million characters, never splitting a text."""
+    part: list[str] = []
+    size = 0
+    for x in texts:
+        part.append(x.as_py())
+        size += len(part[-1])
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+#: Names of the two content hashes that tell rows apart; both together have 128 bits.
+CONTENT_KEYS = ("content_key_1", "content_key_2")
+
+
+def with_content_keys(docs: DataFrame) -> DataFrame:
+    """All columns as the struct ``row``, beside doc_id, source, text and two content hashes.
+
+    Ids need not be unique and may be null; rows with equal hashes agree in id, source and text.
+    """
+    one, two = CONTENT_KEYS
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        "doc_id",
+        "source",
+        "text",
+        F.xxhash64("doc_id", "source", "text").alias(one),
+        F.xxhash64("text", F.lit(1), "source", "doc_id").alias(two),
+    )
+
+
+def rows_of(keyed: DataFrame, decided: DataFrame, *more: str) -> DataFrame:
+    """The rows that ``decided`` names by content keys, once per row of ``decided``, with its columns
+    ``more`` after their own. Rows of equal content are reduced to one in the map tasks first."""
+    texts = keyed.select("row", *CONTENT_KEYS).dropDuplicates(list(CONTENT_KEYS))
+    return texts.join(decided, list(CONTENT_KEYS)).select("row.*", *more)

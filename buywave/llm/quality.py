@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buywave.llm import crf
-from buywave.llm.common import ship, whole_text
+from buywave.llm.common import portions, ship, whole_text
 
 FOLDS, HELD_OUT_FOLD = 4, 2
 #: Bounds of the labelled sample that is fitted on: documents, and lines of one document.
@@ -184,48 +184,35 @@ def fit_quality(
     return crf.fit(features, relabelled, lengths)
 
 
-def score_quality(docs: DataFrame, chain: crf.Chain, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of every row and its ``score``: the length-weighted mean of P(line is good).
+def score_quality(docs: DataFrame, chain: crf.Chain, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
+    """``keep`` columns of every row and its ``score`` (or the given name): the length-weighted mean of P(line is good).
 
     Null and empty texts are one empty line. Whole texts are scored. Repeated rows score alike, and
     the score depends on the text only.
     """
     ship(docs.sparkSession)
     weights = chain.to_dict()
-    source = docs.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)], whole_text(text).alias("t"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)], whole_text(text).alias("t"))
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = crf.Chain.from_dict(weights)
         for batch in batches:
-            scored: list[float] = []
-            for part in _portions(batch.column("t")):
+            means: list[float] = []
+            for part in portions(batch.column("t"), CHARS_AT_ONCE):
                 documents = [lines_of(x) for x in part]
                 lengths = np.array([len(x) for x in documents], dtype=np.int64)
                 p = crf.marginals(field.scores(line_features(documents)), field.transition, lengths)
                 weight = np.array([len(x) + 1.0 for doc in documents for x in doc])
                 starts = np.cumsum(lengths) - lengths
                 mean = np.add.reduceat(p * weight, starts) / np.add.reduceat(weight, starts)
-                scored += np.clip(mean, 0.0, 1.0).tolist()
+                means += np.clip(mean, 0.0, 1.0).tolist()
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scored, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(means, pa.float64())], names=names)
 
     names = [*(f"k{n}" for n in range(len(keep))), "score"]
-    scored = source.mapInArrow(score, out)
-    return scored.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], "score")
-
-
-def _portions(texts: pa.Array, chars: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
-    """The batch's texts in portions of some million characters, never splitting a text."""
-    part, size = [], 0
-    for x in texts:
-        part.append(x.as_py())
-        size += len(part[-1])
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    passed = source.mapInArrow(scored, out)
+    return passed.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], F.col("score").alias(score))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
@@ -242,3 +229,9 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
         "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least 0.7, with the same columns, in one narrow pass."""
+    chain = fit_quality(docs, labels, **bounds)
+    return score_quality(docs, chain, docs.columns, score="quality score").filter(F.col("quality score") >= ACCEPT).drop("quality score")

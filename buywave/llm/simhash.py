@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buywave.llm.common import materialize, ship, whole_text
+from buywave.llm.common import CONTENT_KEYS, materialize, rows_of, ship, whole_text, with_content_keys
 
 HASH_SEED = 42
 #: Lengths of the three bit ranges.
@@ -342,16 +342,12 @@ def keep_one(docs: DataFrame, shingle_words: int = 4, distance: int = 4) -> Data
     """One row of each group of near duplicates, with the columns of ``docs``.
 
     The row with the smallest doc_id stays (null ids last, then by content hash); of rows that agree
-    in id, text and hash one stays.
+    in id, source and text one stays.
     """
-    columns = docs.columns
-    content = (F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("h2"))
-    marked = docs.select(F.struct(*columns).alias("row"), "doc_id", "text", *content)
-    groups = near_duplicates(marked, shingle_words, distance, keep=("h1", "h2"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")
-    # A component without any id is told by its fingerprint-wise smallest row.
+    keyed = with_content_keys(docs)
+    groups = near_duplicates(keyed, shingle_words, distance, keep=CONTENT_KEYS)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", *CONTENT_KEYS)
+    # Rows without any id in reach are grouped by their fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    winners = groups.groupBy(group.alias("g")).agg(F.min(first).alias("w")).select("w.h1", "w.h2")
-    return (
-        marked.select("row", "h1", "h2").dropDuplicates(["h1", "h2"]).join(winners, ["h1", "h2"], "left_semi").select("row.*")
-    )
+    winners = groups.groupBy(group.alias("g")).agg(F.min(first).alias("w"))
+    return rows_of(keyed, winners.select(*[F.col(f"w.{c}") for c in CONTENT_KEYS]))
