@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buywave.llm.common import whole_text
+from buywave.llm.common import materialize, whole_text
 
 THRESHOLD = 0.6
 #: A line without any of these is no header line.
@@ -133,15 +133,17 @@ def scan_licenses(files: DataFrame, templates: list = TEMPLATES, threshold: floa
     candidates = files.filter(F.col("key").isNotNull() & mentions_license(body)).select(
         "key", F.posexplode(F.when(is_file, F.array(body)).otherwise(lines)).alias("part", "text")
     )
-    own = match_templates(candidates, templates, threshold)
+    own = materialize(match_templates(candidates, templates, threshold), "own-licenses")
     listed = files.select("key", "path", is_file.alias("is_file"))
     marked = listed.join(own, "key", "left")
     # Only licence files with a licence matter here, and directories are told apart before the join.
-    granted = (
+    # A table of its own: the join below can then split the root, an ancestor of every directory.
+    granted = materialize(
         listed.filter("is_file and path is not null")
         .join(own, "key")
         .groupBy(directory_of(path).alias("ancestor"))
-        .agg(F.max(F.struct("similarity", "license")).alias("grant"))
+        .agg(F.max(F.struct("similarity", "license")).alias("grant")),
+        "granted-licenses",
     )
     dirs = listed.filter("path is not null").select(directory_of(path).alias("dir")).distinct()
     inherited = (

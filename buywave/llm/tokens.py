@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from buywave.llm.common import new_folder, ship, whole_text
+from buywave.llm.common import materialize, new_folder, ship, whole_text
 
 LIMIT = 4096
 CACHE = T.StructType(
@@ -155,12 +155,22 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     the texts it lacked. Null texts are empty: 0 bytes, 0 tokens. Null ids stay null, repeated rows
     all come back. Two jobs that append the same counts at once leave equal rows; one is used.
     """
-    cache = cache or new_folder(docs.sparkSession, "token-cache")
+    spark = docs.sparkSession
+    cache = cache or new_folder(spark, "token-cache")
     count_missing(docs, tokenizer, cache)
     version = tokenizer_digest(tokenizer)
-    stored = read_cache(docs.sparkSession, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     body = whole_text("text")
-    rows = docs.select("doc_id", F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("digest"))
-    return rows.join(stored, "digest", "left").select(
+    rows = materialize(
+        docs.select("doc_id", F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("digest")),
+        "digests",
+    )
+    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # A table of its own, so that the join below reads both sides from plain exchanges and a digest
+    # that many rows share can be split.
+    counts = materialize(
+        rows.select("digest").distinct().join(stored, "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")),
+        "counts",
+    )
+    return rows.join(counts, "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest"
     )
