@@ -61,6 +61,7 @@ class PartVisitor:
     """Flattens the parts of one conversation. ``visit`` calls the method of the part's type."""
 
     out: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
     position: int = 0
     turn: int = 0
     attachments: list[dict] = field(default_factory=list)
@@ -73,7 +74,12 @@ class PartVisitor:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.emit(escape(part.get("text") or ""))
+        self.text.append(part.get("text") or "")
+
+    def end_text(self) -> None:
+        """Neighbouring texts are escaped as one, so that no control string can lie across them."""
+        self.emit(escape("".join(self.text)))
+        self.text = []
 
     def visit_image(self, part: dict) -> None:
         self.attach("image", part)
@@ -89,6 +95,7 @@ class PartVisitor:
         self.visit_text(part)
 
     def attach(self, kind: str, part: dict) -> None:
+        self.end_text()
         number = len(self.attachments)
         tokens = TOKENS_PER_UNIT[kind] * max(int(part["units"]) if part.get("units") is not None else 1, 0)
         self.attachments.append(
@@ -107,6 +114,7 @@ def format_conversation(turns: list[tuple[str | None, list[dict]]]) -> dict:
         start = visitor.position
         for part in parts:
             visitor.visit(part)
+        visitor.end_text()
         if role == LOSS_ROLE:
             spans.append({"start": start, "stop": visitor.position})
         visitor.emit(f"{END}\n")

@@ -93,7 +93,8 @@ def _by_word(model) -> Callable[[str], int]:
         if len(known) > REMEMBERED:
             known.clear()
         total = 0
-        for chunk in _CHUNK.findall(f" {text}"):
+        # The library stores a space as its sign, so a sign in the text is a space to it.
+        for chunk in _CHUNK.findall(f" {text}".replace(_SPACE, " ")):
             n = known.get(chunk)
             if n is None:
                 n = count_chunk(chunk)
