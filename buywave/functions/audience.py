@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buywave.functions.features import number
+
 # Text-valued model inputs. Fixed values.
 TEXT_INPUTS = ("last_event_type", "last_item", "last_region", "snapshot_date")
 
@@ -136,8 +138,8 @@ def invalid_fields(df: DataFrame, features: Iterable[str]) -> Column:
             value = F.col(feature)
             if kind == "string":
                 blank = F.trim(value) == ""
-                bad = value.isNotNull() & ~blank & value.try_cast("double").isNull()
-                bad = bad | F.coalesce(F.isnan(value.try_cast("double")), F.lit(False))
+                bad = value.isNotNull() & ~blank & number(value).isNull()
+                bad = bad | F.coalesce(F.isnan(number(value)), F.lit(False))
             else:
                 bad = F.isnan(value.cast("double"))
             flags.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(feature)))

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 PURCHASE = "purchase"
 CLICK = "click"
-# A sum of doubles depends on the order in which partitions arrive; cut to these digits, totals
-# and the ratios built on them come out equal on every run.
-MONEY_DIGITS = 6
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(total: Column) -> Column:
-    """A money total without the noise of the summation order."""
-    return F.round(total, MONEY_DIGITS)
+def number(text: Column) -> Column:
+    """Text as a double, null when it is no number. Spark also reads a type letter (``12d``)."""
+    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
 
 
 def per_unit(numerator: Column | str, denominator: Column | str) -> Column:

@@ -7,16 +7,13 @@ runs before the shuffle. What remains per user is bounded by the number of days.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from buywave.functions.features import CLICK, PURCHASE, money
-
-MAX_EVENT_TYPES = 2_000
+from buywave.functions.features import CLICK, PURCHASE
 
 
 def normalize_loaded(df: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def user_day(events: DataFrame) -> DataFrame:
 
 
 def user_lifetime(events: DataFrame) -> DataFrame:
-    """Lifetime counts, spend, first and last timestamp and active days per user."""
+    """Lifetime counts, spend (0 without prices), first and last timestamp and active days per user."""
     days = (
         with_users(events)
         .groupBy("user_id", "date")
@@ -86,7 +83,7 @@ def user_lifetime(events: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("events"),
             F.count_if(is_type(CLICK)).alias("clicks"),
             F.count_if(is_type(PURCHASE)).alias("purchases"),
-            F.sum("price").alias("spent"),
+            (F.sum("price") if "price" in events.columns else F.lit(0.0)).alias("spent"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
         )
@@ -95,7 +92,7 @@ def user_lifetime(events: DataFrame) -> DataFrame:
         F.sum("events").alias("total_events"),
         F.sum("clicks").alias("total_clicks"),
         F.sum("purchases").alias("total_purchases"),
-        money(F.sum("spent")).alias("total_spent"),
+        F.sum("spent").alias("total_spent"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.count("date").alias("unique_days"),
@@ -177,44 +174,31 @@ def first_purchase_per_day(events: DataFrame) -> DataFrame:
     )
 
 
-def event_vocabulary(events: DataFrame, max_types: int = MAX_EVENT_TYPES) -> DataFrame:
+def event_vocabulary(events: DataFrame) -> DataFrame:
     """Event types in order of first appearance: (event_type, position), position from 0.
 
-    The types are counted before their first timestamps are compared; more than ``max_types``
-    of them would mean that many output columns, which is refused.
-    """
-    types = fit_vocabulary(events, max_types)
-    spark = events.sparkSession
-    rows = [(name, i) for i, name in enumerate(types)]
-    return spark.createDataFrame(rows, "event_type string, position int")
-
-
-def fit_vocabulary(events: DataFrame, max_types: int = MAX_EVENT_TYPES) -> list[str]:
-    """Event types in order of first appearance (ts, then event_id).
-
-    One hash aggregation over (event_type, ts); the event ids are read only where two types
-    share their first timestamp.
+    First timestamps come from a hash aggregation over (event_type, ts). Event ids are compared only
+    among the types that share their first timestamp; null ids come last, then the type's name
+    decides. The window holds one row per type.
     """
     typed = events.filter(F.col("event_type").isNotNull() & F.col("ts").isNotNull())
-    starts = typed.groupBy("event_type").agg(F.min("ts").alias("ts")).limit(max_types + 1).collect()
-    if len(starts) > max_types:
-        raise ValueError(f"more than {max_types} event types; they become columns of the embedding")
-    shared = [t for t, n in Counter(row["ts"] for row in starts).items() if n > 1]
-    ids = _first_ids(typed, shared) if shared else {}
-    ordered = sorted(starts, key=lambda row: (row["ts"], ids.get((row["ts"], row["event_type"]), "")))
-    return [row["event_type"] for row in ordered]
-
-
-def _first_ids(typed: DataFrame, times: list) -> dict:
-    """Smallest event id per (timestamp, type) at the few timestamps that types share."""
-    rows = (
-        typed.filter(F.col("ts").isin(times))
-        .groupBy("ts", "event_type")
-        .agg(F.min("event_id").alias("event_id"))
-        .limit(len(times) * MAX_EVENT_TYPES)
-        .collect()
+    starts = typed.groupBy("event_type").agg(F.min("ts").alias("ts"))
+    shared = starts.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("ts"))).filter(F.col("_n") > 1).drop("_n")
+    ids = (
+        typed.select("event_type", "ts", "event_id")
+        .join(shared, ["event_type", "ts"])
+        .groupBy("event_type")
+        .agg(F.min("event_id").alias("_first_id"))
+    )
+    order = W.orderBy("ts", F.col("_first_id").asc_nulls_last(), "event_type")
+    return starts.join(ids, "event_type", "left").select(
+        "event_type", (F.row_number().over(order) - 1).cast("int").alias("position")
     )
-    return {(row["ts"], row["event_type"]): row["event_id"] for row in rows}
+
+
+def fit_vocabulary(events: DataFrame) -> list[str]:
+    """The types of ``event_vocabulary`` as a list: each becomes a column of the embedding."""
+    return [row["event_type"] for row in event_vocabulary(events).orderBy("position").collect()]
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from buywave.functions.features import NO_PURCHASE_DAYS, money
+from buywave.functions.features import NO_PURCHASE_DAYS
 from buywave.operators import events as ev
 from buywave.schemas import SEQUENCE_PREFIX
 
@@ -85,7 +85,7 @@ def running_user_totals(user_days: DataFrame) -> DataFrame:
         "unique_days": F.count(F.lit(1)).over(so_far),
         "total_clicks": F.sum("clicks").over(so_far),
         "total_purchases": F.sum("purchases").over(so_far),
-        "total_spent": money(F.sum("spent").over(so_far)),
+        "total_spent": F.sum("spent").over(so_far),
         "first_day": F.min("date").over(so_far),
         "next_date": F.lead("date").over(days),
     }
@@ -201,7 +201,7 @@ def rolling_activity(
             zero = F.lit(0).cast(METRICS[name])
             daily = F.when(on_day, F.col(name)).otherwise(zero)
             total = F.sum(daily).over(frame)
-            sums.append((money(total) if name == "spent" else total).alias(f"{name}_{k}"))
+            sums.append(total.alias(f"{name}_{k}"))
     return grid.select("*", *sums)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -35,6 +33,8 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # Checkpoints go when nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in {**RUNTIME_SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
@@ -43,20 +43,10 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, taking ``spark.checkpoint.dir`` when it is set.
-
-    Only a local session may fall back to a temporary folder: on a cluster the folder
-    has to be one that every executor can reach, so a missing setting is an error.
-    """
+    """Return the checkpoint folder: ``spark.checkpoint.dir``, else one in the warehouse, which the
+    executors share as well."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="buywave-checkpoint-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
-

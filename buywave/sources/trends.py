@@ -29,10 +29,15 @@ def read_trends(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_daily_trends(spark: SparkSession, path: str) -> DataFrame:
-    """Gap-free daily trends; an absent, unreadable or differently shaped table gives none."""
+    """Gap-free daily trends; an absent, empty or differently shaped table gives an empty one.
+
+    Other failures, as of permissions or the network, are raised.
+    """
     try:
         stored = spark.read.parquet(path)
-    except Exception:  # an unreadable footer surfaces as a Java error, not as AnalysisException
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], TREND_DAILY)
     return daily_series(stored)
 

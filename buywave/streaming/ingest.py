@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from buywave.functions.features import number
 from buywave.schemas import EVENT_COLUMNS, REQUIRED_MESSAGE_FIELDS
 
 MESSAGE_SCHEMA = (
@@ -98,11 +99,13 @@ def event_contract(messages: DataFrame) -> DataFrame:
 def parse_time(text: Column, otherwise: Column) -> Column:
     """ISO time as an instant; without an offset it is UTC; unreadable text gives ``otherwise``.
 
-    Milliseconds are kept, finer digits cut.
+    A full date is required: a time alone, a year or a month is unreadable. Milliseconds are kept,
+    finer digits cut.
     """
+    has_date = text.rlike(r"^\s*[+-]?\d{4,}-\d{2}-\d{2}(?:[T ]|\s*$)")
     has_offset = text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
     has_time = text.rlike(r"\d[T ]\d{2}")
-    iso = F.when(has_offset | ~has_time, text).otherwise(F.concat(text, F.lit("Z")))
+    iso = F.when(has_date, F.when(has_offset | ~has_time, text).otherwise(F.concat(text, F.lit("Z"))))
     return F.coalesce(F.date_trunc("millisecond", F.try_to_timestamp(iso)), otherwise)
 
 
@@ -129,7 +132,7 @@ def item_id(properties: Column) -> Column:
 
 def price(properties: Column) -> Column:
     """Numeric price, null when absent or unreadable."""
-    return F.get_json_object(properties, "$.price").try_cast("double")
+    return number(F.get_json_object(properties, "$.price"))
 
 
 def events_from_messages(messages: DataFrame) -> DataFrame:

@@ -418,7 +418,8 @@ TODAY = "a.snapshot_date = (SELECT MAX(date) FROM ev)"
 
 @query("daily_snapshot", with_views(STATE_VIEWS, f"SELECT {CORE_SQL} FROM state a {JOINS_SQL} WHERE {TODAY}"))
 def daily(spark, sf_dir):
-    return daily_snapshot(loaded(spark, sf_dir), trends_daily=fixture.trend_days(spark, sf_dir))
+    events = loaded(spark, sf_dir)
+    return daily_snapshot(events, trends_daily=fixture.trend_days(spark, sf_dir), vocabulary=ev.fit_vocabulary(events))
 
 
 def plain_daily(spark, sf_dir):

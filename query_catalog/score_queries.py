@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from buywave.functions import audience as rules
@@ -9,6 +10,7 @@ from buywave.functions import features as fx
 from buywave.models import purchase
 from buywave.operators import audience as ops
 from buywave.operators import calibration, metrics, prep
+from buywave.operators.events import fit_vocabulary
 from buywave.plans.audience import audience
 from buywave.plans.snapshots import daily_snapshot, training_snapshots
 from buywave.session import ensure_checkpoint_dir
@@ -133,7 +135,8 @@ def best_threshold(spark, sf_dir):
         + """,
 span AS (SELECT MIN(purchase_proba) AS low, (MAX(purchase_proba) - MIN(purchase_proba)) / 30 AS width FROM fx_scores),
 bins AS (SELECT CAST(UNNEST(generate_series(1, 30)) AS INT) AS bin),
-filled AS (SELECT CAST(LEAST(FLOOR((purchase_proba - low) / width) + 1, 30) AS INT) AS bin, COUNT(*) AS n FROM fx_scores, span GROUP BY 1)""",
+filled AS (SELECT bin, COUNT(*) AS n FROM fx_scores, span, bins
+           WHERE (bin = 1 OR purchase_proba >= low + width * (bin - 1)) AND (bin = 30 OR purchase_proba < low + width * bin) GROUP BY 1)""",
         """SELECT b.bin, ROUND(low + width * (b.bin - 1), 6) AS low, ROUND(low + width * b.bin, 6) AS high, COALESCE(f.n, 0) AS n
            FROM bins b CROSS JOIN span LEFT JOIN filled f ON f.bin = b.bin""",
     ),
@@ -462,26 +465,69 @@ def invalid_fields(spark, sf_dir):
 
 # --- models ----------------------------------------------------------------------------------------
 
-# Fewer rounds than the default: these two only show the whole path.
-ROUNDS = {"maxIter": 10}
+_models: dict = {}
 
 
 def _fitted(spark, sf_dir):
-    """Models on the training rows, which are materialised once, as a training table would be."""
+    """Models of the default size on the training rows, which are materialised once, as a training
+    table would be; the vocabulary goes from training to scoring with the model. The hundreds of
+    boosting rounds are run once per application and table; both queries score with that model."""
     events = loaded(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _models:
+        return _models[key], daily_snapshot(events, vocabulary=_models[key].vocabulary)
     ensure_checkpoint_dir(spark)
-    rows = training_snapshots(events).checkpoint()
-    model = purchase.fit(rows, classifier=ROUNDS, regressor=ROUNDS)
-    return model, daily_snapshot(events)
+    vocabulary = fit_vocabulary(events)
+    rows = training_snapshots(events, vocabulary=vocabulary).checkpoint()
+    model = _models[key] = purchase.fit(rows, vocabulary=vocabulary)
+    return model, daily_snapshot(events, vocabulary=model.vocabulary)
 
 
-@query("score_users")
+# Fitted trees cannot be compared bit by bit: per user, SQL states what must hold for any fit.
+SCORED_USERS = """SELECT user_id, COUNT(*) AS total_events, TRUE AS probability_ok, TRUE AS class_ok,
+                         TRUE AS days_ok, TRUE AS amount_ok{more} FROM fx_events GROUP BY user_id"""
+
+
+def _checks(model):
+    p = F.col("purchase_proba")
+    return {
+        "probability_ok": (p >= 0) & (p <= 1),
+        "class_ok": F.col("will_purchase_pred") == (p >= F.lit(model.threshold)).cast("int"),
+        "days_ok": F.col("days_to_next_pred").between(0.1, 30.0),
+        "amount_ok": F.col("next_purchase_amount_pred") >= 10.0,
+    }
+
+
+@query("score_users", with_views(EVENTS_SQL, SCORED_USERS.format(more="")))
 def score_users(spark, sf_dir):
     model, snapshot = _fitted(spark, sf_dir)
-    return model.score(snapshot)
+    checks = _checks(model)
+    scored = model.score(snapshot).withColumns(checks)
+    return scored.select("user_id", "total_events", *checks)
 
 
-@query("audience")
+@query(
+    "audience",
+    with_views(EVENTS_SQL, SCORED_USERS.format(more=", TRUE AS rank_ok, TRUE AS segment_ok")),
+)
 def ranked_audience(spark, sf_dir):
+    """The ranked rows in their order: probabilities must not rise, segments follow the rule."""
     model, snapshot = _fitted(spark, sf_dir)
-    return audience(snapshot, model)
+    checks = _checks(model)
+    ranked = audience(snapshot, model).withColumn("_at", F.monotonically_increasing_id())
+    # The order is checked inside the ranges that the ranking was made in.
+    ranked = ranked.withColumn("_range", F.spark_partition_id())
+    before = F.lag("purchase_proba").over(Window.partitionBy("_range").orderBy("_at"))
+    again = F.expr(
+        """CASE WHEN purchase_proba >= 0.7 AND days_since_last <= 30 THEN 'hot'
+                WHEN purchase_proba >= 0.3 AND (events_last_7d >= 3 OR days_since_last <= 14) THEN 'warm'
+                WHEN purchase_proba < 0.1 AND will_purchase_pred = 0 THEN 'ignore' ELSE 'cold' END"""
+    )
+    checked = ranked.withColumns(
+        {
+            **checks,
+            "rank_ok": before.isNull() | (before >= F.col("purchase_proba")),
+            "segment_ok": F.col("segment") == again,
+        }
+    )
+    return checked.select("user_id", "total_events", *checks, "rank_ok", "segment_ok")

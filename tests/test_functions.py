@@ -137,3 +137,21 @@ def test_prediction_series(spark):
 def test_feature_groups():
     groups = prep.feature_groups(["total_events", "micro_event_growth", "seq_emb_0"])
     assert groups == {"sequence": ["seq_emb_0"], "micro_trend": ["micro_event_growth"], "tabular": ["total_events"]}
+
+
+def test_time_texts_need_a_full_date(spark):
+    from buywave.streaming.ingest import parse_time
+
+    texts = ["12:00:00", "T12:00", "2024", "2024-01", "2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02 03:04:05+02:00", "junk", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = rows.select("k", parse_time(F.col("t"), F.lit(None).cast("timestamp")).cast("string").alias("ts")).orderBy("k").collect()
+    assert [r.ts for r in found] == [None, None, None, None, "2024-01-02 00:00:00", "2024-01-02 03:04:05", "2024-01-02 01:04:05", None, None]
+
+
+def test_prices_are_plain_numbers(spark):
+    from buywave.functions.features import number
+
+    texts = ["12", "12d", "3f", "1.5F", "2.D", "-1e3", " 7 ", "bad", "", "inf", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = [r[0] for r in rows.orderBy("k").select(number(F.col("t"))).collect()]
+    assert found == [12.0, None, None, None, None, -1000.0, 7.0, None, None, float("inf"), None]

@@ -94,3 +94,14 @@ def test_quality_flag(spark):
             (F.col("id") < positives).cast("int").alias("will_purchase_next_7d"), F.col("id").alias("events_last_7d")
         )
         assert splits.target_diagnostics(frame).first()["quality"] == flag
+
+
+def test_histogram_equals_numpy_on_edges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for values in (np.linspace(0, 1, 31), np.linspace(-3, 7, 61), rng.integers(0, 40, 500) / 7, np.array([2.0, 2.0])):
+        frame = spark.createDataFrame([(float(x),) for x in values], "s double")
+        for bins in (1, 3, 30):
+            found = [r.n for r in metrics.score_histogram(frame, "s", bins).orderBy("bin").collect()]
+            assert found == np.histogram(values, bins)[0].tolist()

@@ -38,7 +38,7 @@ def test_training_matches_brute_force(spark, sparse):
         events = events.filter(((number * 7919 + F.col("user_id").cast("bigint")) % 10 < 3) & (F.dayofmonth("ts") != 11))
     local = events.select("event_id", "event_type", "ts", "date", "user_id", "region", "item_id", "price").toPandas()
     same(training_snapshots(events), brute_force.training(local))
-    same(daily_snapshot(events), brute_force.daily(local))
+    same(daily_snapshot(events, vocabulary=ev.fit_vocabulary(events)), brute_force.daily(local))
 
 
 def test_window_edges(make_events):
@@ -111,9 +111,22 @@ def test_equal_timestamps_are_ordered_by_id(make_events):
     assert ev.fit_vocabulary(events) == ["click", "view"]
 
 
-def test_vocabulary_is_refused_when_it_would_be_too_wide(make_events):
-    with pytest.raises(ValueError):
-        ev.fit_vocabulary(make_events([("u", f"t{i}", day(0), None) for i in range(4)]), max_types=3)
+def test_vocabulary_has_no_cap(spark, make_events):
+    events = make_events([("u", f"t{i}", day(0), None) for i in range(2500)] + [("u", "early", day(-1), None)])
+    assert ev.fit_vocabulary(events) == ["early", *(f"t{i}" for i in range(2500))]
+
+
+def test_vocabulary_with_null_ids(make_events):
+    events = make_events([("u", "b", day(0), None), ("u", "a", day(0), None), ("u", "c", day(0), None)])
+    no_id = events.withColumn("event_id", F.when(F.col("event_type") != "b", F.col("event_id")))
+    assert ev.fit_vocabulary(no_id) == ["a", "c", "b"]  # the null id comes last
+    none = events.withColumn("event_id", F.lit(None).cast("string"))
+    assert ev.fit_vocabulary(none) == ["a", "b", "c"]
+
+
+def test_lifetime_without_prices(make_events):
+    events = make_events([("u", "purchase", day(0), 5.0)]).drop("price")
+    assert ev.user_lifetime(events).first()["total_spent"] == 0.0
 
 
 def test_empty_item_counts_null_item_does_not(spark, make_events):
@@ -121,12 +134,12 @@ def test_empty_item_counts_null_item_does_not(spark, make_events):
     assert ev.distinct_items(events).first()["distinct_items"] == 2
     no_item = events.withColumn("item_id", F.lit(None).cast("string"))
     assert ev.distinct_items(no_item).count() == 0
-    assert daily_snapshot(no_item).first()["distinct_items"] == 0
+    assert daily_snapshot(no_item, vocabulary=[]).first()["distinct_items"] == 0
 
 
 def test_spend_counts_every_event_type(make_events):
     events = make_events([("u", "view", day(0), 4.0), ("u", "purchase", day(0), 6.0)])
-    assert daily_snapshot(events).first()["total_spent"] == 10.0
+    assert daily_snapshot(events, vocabulary=ev.fit_vocabulary(events)).first()["total_spent"] == 10.0
 
 
 def test_events_without_user_shape_the_dates_but_give_no_rows(make_events):
@@ -162,7 +175,7 @@ def test_date_range_and_optional_columns(spark):
     events = loaded(spark, SMALL)
     some = training_snapshots(events, start=dt.date(2024, 1, 10), end=dt.date(2024, 1, 11))
     assert {r["snapshot_date"].day for r in some.select("snapshot_date").distinct().collect()} == {10, 11}
-    bare = daily_snapshot(events.drop("item_id", "region", "price"))
+    bare = daily_snapshot(events.drop("item_id", "region", "price"), vocabulary=ev.fit_vocabulary(events))
     row = bare.first()
     assert row["distinct_items"] == 0 and row["last_item"] is None and row["total_spent"] == 0.0
     assert "micro_spent_growth" not in bare.columns
@@ -182,4 +195,4 @@ def test_bad_micro_windows(make_events, short, long):
 
 def test_bad_sequence_length(make_events):
     with pytest.raises(ValueError):
-        daily_snapshot(make_events([("u", "click", day(0), None)]), sequence_length=0)
+        daily_snapshot(make_events([("u", "click", day(0), None)]), vocabulary=[], sequence_length=0)

@@ -85,11 +85,15 @@ def test_trend_master_is_written_once(spark, tmp_path):
     assert stats["total_records"] == n and stats["regions"] == ["UA-30", "UA-40", "UA-50"]
 
 
-def test_unreadable_trends_give_none(spark, tmp_path):
+def test_only_absent_empty_or_other_tables_mean_no_trends(spark, tmp_path):
     path = tmp_path / "bad"
     path.mkdir()
-    (path / "x.parquet").write_bytes(b"no")
     assert trend_source.load_daily_trends(spark, str(path)).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    assert trend_source.load_daily_trends(spark, str(tmp_path / "other")).count() == 0
+    (path / "x.parquet").write_bytes(b"no")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        trend_source.load_daily_trends(spark, str(path))
 
 
 def test_daily_runs(spark, tmp_path):
