@@ -109,6 +109,45 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def _mixing_sql() -> str:
+    symbols = "".join(sorted(set(mixing.SYMBOLS)))
+    weights = ", ".join(f"CAST({w} AS DOUBLE)" for w in mixing.WEIGHTS)
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    -ln((CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+      / greatest(0.5, 1.0 - 5.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{symbols}', '')))
+                            / greatest(length(coalesce(text, '')), 1)) AS key
+  FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighted AS (
+  SELECT *, CAST(source_size AS DOUBLE) * {mixing.MOST_EPOCHS} AS cap,
+    list_extract([{weights}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)) AS weight
+  FROM sizes),
+ordered AS (
+  SELECT *, row_number() OVER w AS place, sum(cap) OVER w AS capped, sum(weight) OVER w AS capped_weight,
+    CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS all_weight
+  FROM weighted WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+levels AS (SELECT *, (total - capped + cap) / (all_weight - capped_weight + weight) AS level FROM ordered),
+targets AS (
+  SELECT source, source_size, CASE WHEN level >= cap / weight THEN cap
+    ELSE weight * (SELECT arg_min(level, place) FROM levels WHERE level < cap / weight) END AS target FROM levels),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM docs),
+planned AS (
+  SELECT p.*, source_size, target,
+    CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-9), {mixing.MOST_EPOCHS}) ELSE 0 END AS whole
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT *, CAST(whole + CASE WHEN whole < {mixing.MOST_EPOCHS} AND size > 0 AND start + size / 2.0 <= target - whole * source_size
+                              THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM planned)
+SELECT doc_id, source, size, source_size, target, epochs, epochs * size AS taken FROM drawn
+"""
+
+
+ORACLES["op5_source_mixing"] = _mixing_sql()
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with a fresh cache, so every distinct text is encoded."""
