@@ -18,14 +18,16 @@ MESSAGE_SCHEMA = (
     "user_id string, region string, properties string, _corrupt string"
 )
 BATCH_SECONDS = 0.5
+ROWS_PER_BATCH = 500_000
 
 
 def kafka_source(
-    spark: SparkSession, servers: str, topic: str = "raw-events", rows_per_batch: int | None = None
+    spark: SparkSession, servers: str, topic: str = "raw-events", rows_per_batch: int | None = ROWS_PER_BATCH
 ) -> DataFrame:
     """(value, ingest_ts) of a Kafka topic from the earliest offset.
 
-    ``rows_per_batch`` bounds a micro-batch over all partitions (the trigger bounds its time).
+    ``rows_per_batch`` bounds a micro-batch over all partitions, so that the first one is not the whole
+    topic; None leaves it unbounded.
     Needs the Kafka connector on the class path.
     """
     reader = (
