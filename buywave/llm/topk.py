@@ -6,8 +6,8 @@ bound for a block is the sum over dimensions of what the block's extremes could
 query, blocks are scored in the order of their bounds until the next bound is below the k-th best
 score; an equal bound is still scored, since a tie may go to a smaller id.
 
-Work is dealt as a grid of query groups and slabs. Each cell returns its k best per query, and the best
-of those are the answer.
+Work is dealt as a grid of query groups and slabs: slabs fall on piles by a hash, and a query group goes to
+every pile. Each cell returns its k best per query, and the best of those are the answer.
 """
 
 from __future__ import annotations
@@ -128,15 +128,17 @@ def top_k(
     """
     ship(vectors.sparkSession)
     rows = materialize(quantized(vectors, id_column, vector_column), "quantized")
+    # Only the number of slabs comes to the driver; their rows are never numbered in one place.
     slabs = materialize(_pack(rows, slab_rows), "slabs")
-    groups = _pack(rows.filter(is_query), group_queries)
-    # Slabs are few (one for thousands of rows), so numbering them in one task is bounded work.
-    order = Window.partitionBy("width").orderBy(F.xxhash64("ids", "body"), "ids", "body")
-    slabs = materialize(slabs.withColumn("slab", F.row_number().over(order)), "numbered-slabs")
-    per_width = slabs.groupBy("width").agg(F.max("slab").alias("slabs"))
-    dealt = groups.select("width", F.xxhash64("ids", "body").alias("group"), F.col("ids").alias("query_ids"), F.col("body").alias("query_body"))
-    dealt = dealt.join(per_width, "width").withColumn("slab", F.explode(F.sequence(F.lit(1), "slabs"))).drop("slabs")
-    cells = dealt.join(slabs.repartition("width", "slab"), ["width", "slab"])
+    piles = max(slabs.count(), 1)
+    dealt = (
+        _pack(rows.filter(is_query), group_queries)
+        .select("width", F.xxhash64("ids", "body").alias("group"), F.col("ids").alias("query_ids"), F.col("body").alias("query_body"))
+        .withColumn("pile", F.explode(F.sequence(F.lit(0), F.lit(piles - 1))))
+    )
+    piled = slabs.withColumn("pile", F.pmod(F.xxhash64("width", "ids", "body"), F.lit(piles)).cast("int"))
+    # Every query group meets every slab of its width, as the operator is asked to.
+    cells = dealt.join(piled, ["width", "pile"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
