@@ -8,6 +8,7 @@ the backward as-of join. Only the trailing k-day windows run on the repeated row
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,34 +26,48 @@ METRICS = {"events": "bigint", "purchases": "bigint", "spent": "double"}
 # --- spine -----------------------------------------------------------------------------------
 
 
-def date_list(events: DataFrame, horizon_days: int = 0) -> Column:
-    """Sorted observed dates up to ``horizon_days`` before the last one, as one array value.
-
-    A scalar subquery: at most one element per calendar day, evaluated once per query.
-    """
-    dates = ev.observed_dates(events).agg(F.array_sort(F.collect_list("date")).alias("dates"))
-    last = F.try_element_at("dates", F.lit(-1))
-    kept = F.filter("dates", lambda d: d <= F.date_sub(last, horizon_days)) if horizon_days else F.col("dates")
-    return dates.select(F.coalesce(kept, F.array().cast("array<date>")).alias("dates")).scalar()
-
-
 def last_date(events: DataFrame) -> Column:
     """Last observed date, as one value."""
     return events.agg(F.max("date")).scalar()
 
 
-def expand_to_dates(user_days: DataFrame, dates: Column) -> DataFrame:
+def expand_to_dates(
+    user_days: DataFrame,
+    events: DataFrame,
+    horizon_days: int = 0,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+) -> DataFrame:
     """Repeat each user-day over the observed dates from its day to before the next active day.
 
     ``user_days`` has one row per user and active ``date`` with ``next_date`` (null for the
-    last). Days that are not in ``dates`` give no rows.
+    last). Dates less than ``horizon_days`` before the last one, before ``start`` or after ``end`` give no
+    rows; they are cut off before the rows are repeated. The observed dates (one per calendar day) are
+    numbered once and joined by broadcast, so a row costs only the dates it is repeated over.
     """
-    known = user_days.withColumn("_dates", dates)
-    start = F.array_position("_dates", F.col("date"))
-    follow = F.nullif(F.array_position("_dates", F.col("next_date")), F.lit(0))
-    stop = F.coalesce(follow, F.size("_dates") + 1)
-    covered = F.slice("_dates", start.cast("int"), (stop - start).cast("int"))
-    return known.filter(start > 0).select(*user_days.columns, F.explode(covered).alias("snapshot_date"))
+    observed = ev.observed_dates(events)
+    numbered = observed.select("date", F.row_number().over(W.orderBy("date")).alias("position"))
+    listed = observed.agg(F.array_sort(F.collect_list("date")).alias("dates"))
+
+    def how_many(condition) -> Column:
+        return F.size(F.filter("dates", condition))
+
+    until = F.date_sub(F.try_element_at("dates", F.lit(-1)), horizon_days)
+    if end is not None:
+        until = F.least(until, F.lit(end))
+    before = how_many(lambda d: d < F.lit(start)) if start is not None else F.lit(0)
+    span = F.struct("dates", (before + 1).alias("first"), how_many(lambda d: d <= until).alias("last"))
+    own = F.broadcast(numbered.select(F.col("date").alias("_own"), F.col("position").alias("_position")))
+    follow = F.broadcast(numbered.select(F.col("date").alias("_follow"), F.col("position").alias("_next")))
+    placed = (
+        user_days.join(own, F.col("date") == F.col("_own"))
+        .join(follow, F.col("next_date") == F.col("_follow"), "left")
+        .withColumn("_span", listed.select(span.alias("span")).scalar())
+    )
+    low = F.greatest("_position", F.col("_span.first"))
+    high = F.least(F.col("_next") - 1, F.col("_span.last"))  # nulls are passed over
+    covered = F.slice("_span.dates", low, high - low + 1)
+    return placed.filter(high >= low).select(*user_days.columns, F.explode(covered).alias("snapshot_date"))
 
 
 def user_window() -> W:
@@ -67,7 +82,7 @@ def with_next_date(user_days: DataFrame) -> DataFrame:
 def snapshot_spine(events: DataFrame, horizon_days: int = 0) -> DataFrame:
     """(user_id, snapshot_date): each user on every observed date from the first active day on."""
     days = ev.with_users(events).select("user_id", "date").filter(F.col("date").isNotNull()).distinct()
-    return expand_to_dates(with_next_date(days), date_list(events, horizon_days)).select(
+    return expand_to_dates(with_next_date(days), events, horizon_days).select(
         "user_id", "snapshot_date"
     )
 
@@ -212,17 +227,17 @@ def running_totals(events: DataFrame) -> DataFrame:
     """Running totals of each user on every observed date."""
     days = running_user_totals(ev.user_day(events))  # carries next_date
     totals = ["total_events", "unique_days", "total_clicks", "total_purchases", "total_spent"]
-    return expand_to_dates(days, date_list(events)).select("user_id", "snapshot_date", *totals)
+    return expand_to_dates(days, events).select("user_id", "snapshot_date", *totals)
 
 
 def rolling_on_spine(events: DataFrame, windows: Iterable[int]) -> DataFrame:
-    grid = expand_to_dates(with_next_date(ev.user_day(events)), date_list(events))
+    grid = expand_to_dates(with_next_date(ev.user_day(events)), events)
     return rolling_activity(grid, windows)
 
 
 def asof_last_event(events: DataFrame) -> DataFrame:
     """Last known event (type, region, item, ts) of each user as of every observed date."""
-    grid = expand_to_dates(with_next_date(ev.last_event_per_day(events)), date_list(events))
+    grid = expand_to_dates(with_next_date(ev.last_event_per_day(events)), events)
     names = {"event_type": "last_event_type", "region": "last_region", "item_id": "last_item", "ts": "last_ts"}
     return grid.select(
         "user_id",
@@ -235,7 +250,7 @@ def next_purchase_target(events: DataFrame, horizon_days: int = 7) -> DataFrame:
     """Look-ahead targets on the training spine; the look-ahead itself sees all dates."""
     active = ev.with_users(events).select("user_id", "date").filter(F.col("date").isNotNull()).distinct()
     days = active.join(ev.first_purchase_per_day(events), ["user_id", "date"], "left")
-    grid = expand_to_dates(with_next_date(next_purchase(days)), date_list(events, horizon_days))
+    grid = expand_to_dates(with_next_date(next_purchase(days)), events, horizon_days)
     return purchase_targets(grid, horizon_days).select(
         "user_id",
         "snapshot_date",
@@ -251,7 +266,7 @@ def sequence_embedding(
     """Type shares of each user's last ``length`` events as of every observed date."""
     vocabulary = list(vocabulary) if vocabulary is not None else ev.fit_vocabulary(events)
     days = recent_type_counts(events, vocabulary, length)
-    grid = expand_to_dates(with_next_date(days), date_list(events))
+    grid = expand_to_dates(with_next_date(days), events)
     return grid.select("user_id", "snapshot_date", *type_shares(vocabulary))
 
 

@@ -449,7 +449,7 @@ def derived_ratios(spark, sf_dir):
 def recency(spark, sf_dir):
     grid = hist.expand_to_dates(
         hist.running_user_totals(ev.user_day(loaded(spark, sf_dir))),
-        hist.date_list(loaded(spark, sf_dir)),
+        loaded(spark, sf_dir),
     )
     return grid.select(
         "user_id",
