@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buywave.llm.common import portions, ship, whole_text
+from buywave.llm.common import materialize, portions, ship, whole_text
 
 K1, B = 1.2, 0.75
 THRESHOLD, SLACK = 0.6, 0.1
@@ -133,24 +133,48 @@ class Index:
         return len(self.block_slack)
 
 
-def build_index(items: list[tuple], block_items: int = BLOCK_ITEMS, slack: float = SLACK) -> Index:
-    """items: (id, text). Items without words are left out; equal rows count once."""
+def entries_of(question: list[bytes], answer: list[bytes]) -> Iterator[Counter]:
+    """An item's words, counted in entries of at most ENTRY_WORDS words."""
+    words = question + answer
+    for at in range(0, len(words), ENTRY_WORDS):
+        yield Counter(words[at : at + ENTRY_WORDS])
+
+
+@dataclass
+class Statistics:
+    """Entries, their mean length, and how many of them hold a term."""
+
+    entries: int
+    mean_length: float
+    holding: dict[bytes, int]
+
+    @classmethod
+    def of(cls, entries: list[Counter]) -> Statistics:
+        words = sum(sum(e.values()) for e in entries)
+        return cls(len(entries), words / max(len(entries), 1), Counter(t for e in entries for t in e))
+
+
+def build_index(
+    items: list[tuple], block_items: int = BLOCK_ITEMS, slack: float = SLACK, statistics: Statistics | None = None
+) -> Index:
+    """items: (id, text). Items without words are left out; equal rows count once. ``statistics`` are those
+    of the whole benchmark if the items are a part of it."""
     split = [(i, *question_and_answer(text)) for i, text in sorted(set(items), key=repr)]
     split = [x for x in split if x[1] or x[2]]
     entries, entry_item = [], []
     for k, (_, question, answer) in enumerate(split):
-        words = question + answer
-        for at in range(0, len(words), ENTRY_WORDS):
-            entries.append(Counter(words[at : at + ENTRY_WORDS]))
+        for entry in entries_of(question, answer):
+            entries.append(entry)
             entry_item.append(k)
     n = len(entries)
     df = Counter(t for entry in entries for t in entry)
+    known = statistics or Statistics.of(entries)
     lengths = np.array([sum(e.values()) for e in entries] or [1], dtype=np.float64)
-    idf = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    idf = {t: np.log(1 + (known.entries - known.holding[t] + 0.5) / (known.holding[t] + 0.5)) for t in df}
     vocabulary = {t: k for k, t in enumerate(sorted(df, key=lambda t: (-df[t], t)))}
     impacts = []
     for entry, length in zip(entries, lengths):
-        norm = K1 * (1 - B + B * length / lengths.mean())
+        norm = K1 * (1 - B + B * length / known.mean_length)
         raw = {vocabulary[t]: idf[t] * c * (K1 + 1) / (c + norm) for t, c in entry.items()}
         whole = sum(raw.values())
         impacts.append({t: x / whole for t, x in raw.items()})
@@ -275,17 +299,53 @@ def _verified(words: list[bytes], start: int, index: Index, item: int) -> tuple[
     return contained(question, region), contained(answer, region)
 
 
-def indexes(benchmark: DataFrame, max_items: int = INDEX_ITEMS, max_chars: int = INDEX_CHARS) -> Iterator[Index]:
+def term_counts(items: DataFrame) -> DataFrame:
+    """(term, n): how many entries of the whole benchmark hold the term; the row without a term counts the
+    entries and, in ``words``, their words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            holding: Counter = Counter()
+            n = words = 0
+            for text in batch.column("text"):
+                for entry in entries_of(*question_and_answer(text.as_py())):
+                    holding.update(entry.keys())
+                    n, words = n + 1, words + sum(entry.values())
+            rows = [(None, n, words), *((t, c, 0) for t, c in holding.items())]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "words"])
+
+    ship(items.sparkSession)
+    found = items.distinct().select("text").mapInArrow(counted, "term binary, n bigint, words bigint")
+    return found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
+def statistics_for(part: list[tuple], counts: DataFrame) -> Statistics:
+    """Statistics of the whole benchmark for the terms of one part, whose size bounds what is collected."""
+    terms = sorted({t for _, text in part for entry in entries_of(*question_and_answer(text)) for t in entry})
+    wanted = counts.sparkSession.createDataFrame([(bytearray(t),) for t in terms], "term binary")
+    whole = counts.filter(F.col("term").isNull()).first()
+    holding = {bytes(r["term"]): r["n"] for r in counts.join(wanted, "term").collect()}
+    n = whole["n"] if whole else 0
+    return Statistics(n, whole["words"] / max(n, 1) if whole else 0.0, holding)
+
+
+def indexes(benchmark: DataFrame, max_items: int | None = None, max_chars: int | None = None) -> Iterator[Index]:
     """Indexes that cover the benchmark: one if its measured size allows, else one per part.
 
-    Each part has the term statistics of its own items.
+    Scores do not depend on the number of parts: all use the term statistics of the whole benchmark.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text("text").alias("text"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(-(-n // max_items), -(-chars // max_chars), 1)
+    parts = max(-(-n // (max_items or INDEX_ITEMS)), -(-chars // (max_chars or INDEX_CHARS)), 1)
+    if parts == 1:
+        yield build_index([tuple(r) for r in items.collect()])
+        return
+    counts = materialize(term_counts(items), "benchmark-terms")
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for k in range(parts):
-        yield build_index([tuple(r) for r in items.filter(part == k).collect()])
+        rows = [tuple(r) for r in items.filter(part == k).collect()]
+        yield build_index(rows, statistics=statistics_for(rows, counts))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
