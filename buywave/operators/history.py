@@ -75,6 +75,13 @@ def user_window() -> W:
     return W.partitionBy("user_id").orderBy("date")
 
 
+def snapshot_dates(events: DataFrame, horizon_days: int = 0) -> DataFrame:
+    """The dates (``snapshot_date``) that the spine has, found without building it."""
+    first = ev.with_users(events).agg(F.min("date")).scalar()
+    until = F.date_sub(last_date(events), horizon_days)
+    return ev.observed_dates(events).filter(F.col("date").between(first, until)).select(F.col("date").alias("snapshot_date"))
+
+
 def with_next_date(user_days: DataFrame) -> DataFrame:
     return user_days.withColumn("next_date", F.lead("date").over(user_window()))
 
@@ -168,7 +175,16 @@ def recent_type_counts(
         # Only (user_id, date) are join keys: both sides are already hashed by them.
         same_day = (F.col("user_id") == F.col("_user_id")) & (F.col("date") == F.col("_date"))
         recent = recent.join(side, same_day & last, "left")
-    kept = ["user_id", "date", "event_type", *context, *carried]
+    return type_counts_so_far(recent, vocabulary, length, [*context, *carried])
+
+
+def type_counts_so_far(recent: DataFrame, vocabulary: Sequence[str], length: int, carried: Sequence[str]) -> DataFrame:
+    """The last event (``rn`` 1) of each user-day with the type counts of the last ``length`` rows so far.
+
+    ``recent`` has user_id, date, rn, event_type and the ``carried`` columns.
+    """
+    last = F.col("rn") == 1
+    kept = ["user_id", "date", "event_type", *carried]
     if not vocabulary:
         return recent.filter(last).select(*kept)
     along = W.partitionBy("user_id").orderBy("date", F.desc("rn"))

@@ -33,9 +33,15 @@ def date_splits(snapshots: DataFrame, train: float = TRAIN_RATIO, val: float = V
     )
 
 
-def time_split(snapshots: DataFrame, train: float = TRAIN_RATIO, val: float = VAL_RATIO) -> DataFrame:
-    """Add ``split``; the date table (one row per calendar day) is broadcast."""
-    return snapshots.join(F.broadcast(date_splits(snapshots, train, val)), "snapshot_date")
+def time_split(
+    snapshots: DataFrame, train: float = TRAIN_RATIO, val: float = VAL_RATIO, dates: DataFrame | None = None
+) -> DataFrame:
+    """Add ``split``; the date table (one row per calendar day) is broadcast.
+
+    ``dates`` has the ``snapshot_date`` values where they are known (``snapshot_dates``); else they are
+    taken from the snapshots, which are then computed for that too.
+    """
+    return snapshots.join(F.broadcast(date_splits(snapshots if dates is None else dates, train, val)), "snapshot_date")
 
 
 def split_distribution(split_rows: DataFrame, label: str = "will_purchase_next_7d") -> DataFrame:

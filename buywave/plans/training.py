@@ -8,20 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from buywave.models import purchase
 from buywave.operators.splits import target_diagnostics, time_split
-from buywave.session import ensure_checkpoint_dir
 from buywave.sources import snapshots as store
 
 
-def save_training_set(snapshots: DataFrame, path: str) -> DataFrame:
+def save_training_set(snapshots: DataFrame, path: str, dates: DataFrame | None = None) -> DataFrame:
     """Split snapshots by date, write them partitioned by split, and return their diagnostics.
 
-    The snapshots are built once: the date list, the rows and the diagnostics all read the
-    checkpoint.
+    ``dates`` are the snapshot dates (``snapshot_dates`` of the events or facts); with them the rows are
+    computed once. They are written once, and the diagnostics read the stored table.
     """
-    ensure_checkpoint_dir(snapshots.sparkSession)
-    rows = snapshots.checkpoint()
-    store.write_splits(time_split(rows), path)
-    return target_diagnostics(rows)
+    store.write_splits(time_split(snapshots, dates=dates), path)
+    return target_diagnostics(snapshots.sparkSession.read.parquet(path))
 
 
 def train(

@@ -76,8 +76,13 @@ def load_events(
     strict: bool = True,
     pattern: str = PART_PATTERN,
     schema: StructType | None = None,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
 ) -> DataFrame:
-    """Normalised events of all Parquet parts below ``path``.
+    """Normalised events of all Parquet parts below ``path``, from ``start`` to ``end`` (whole days) if given.
+
+    The days bound ``ts``, so row groups of other days are skipped, and prune the folders of a table that
+    is partitioned by ``date``.
 
     Strict loading fails on a corrupt part; otherwise corrupt parts are skipped. No parts at
     all is a FileNotFoundError in both cases. Without a ``schema`` lenient loading merges the
@@ -94,4 +99,23 @@ def load_events(
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(f"no Parquet parts in {path}") from error
         raise
-    return normalize_loaded(parts)
+    return normalize_loaded(_within(parts, start, end))
+
+
+def _within(parts: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
+    kinds = dict(parts.dtypes)
+    if start is None and end is None:
+        return parts
+    if not kinds["ts"].startswith("timestamp"):
+        day = F.to_date(F.try_to_timestamp("ts"))
+        return parts.filter(day.between(F.lit(start or dt.date.min), F.lit(end or dt.date.max)))
+    if start is not None:
+        parts = parts.filter(F.col("ts") >= F.lit(start).cast(kinds["ts"]))
+    if end is not None:
+        parts = parts.filter(F.col("ts") < F.lit(end + dt.timedelta(days=1)).cast(kinds["ts"]))
+    if kinds.get("date") == "date":
+        if start is not None:
+            parts = parts.filter(F.col("date") >= F.lit(start))
+        if end is not None:
+            parts = parts.filter(F.col("date") <= F.lit(end))
+    return parts

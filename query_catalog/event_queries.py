@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from buywave.functions import features as fx
 from buywave.operators import events as ev
+from buywave.operators import facts
 from buywave.operators import history as hist
 from buywave.operators import splits
 from buywave.operators.trends import join_trends
-from buywave.plans.snapshots import daily_snapshot, training_snapshots
+from buywave.plans.snapshots import daily_from_facts, daily_snapshot, training_from_facts, training_snapshots
 from buywave.sources import events as event_source
 from buywave.sources.snapshots import latest_rows
 from buywave.streaming.rates import event_rate
 from query_catalog import fixtures as fixture
 from query_catalog.fixtures import EVENTS_SQL, TREND_DAYS_SQL
-from query_catalog.registry import query, with_views
+from query_catalog.registry import ORACLES, query, with_views
 
 
 def loaded(spark, sf_dir):
@@ -422,6 +423,27 @@ def daily(spark, sf_dir):
     return daily_snapshot(events, trends_daily=fixture.trend_days(spark, sf_dir), vocabulary=ev.fit_vocabulary(events))
 
 
+def from_facts(spark, sf_dir, build):
+    """``build`` over the facts of the events instead of the events."""
+    events = loaded(spark, sf_dir)
+    return build(
+        facts.user_day_facts(events),
+        facts.user_item_days(events),
+        trends_daily=fixture.trend_days(spark, sf_dir),
+        vocabulary=ev.fit_vocabulary(events),
+    )
+
+
+@query("training_from_facts", ORACLES["training_snapshots"])
+def training_of_facts(spark, sf_dir):
+    return from_facts(spark, sf_dir, training_from_facts)
+
+
+@query("daily_from_facts", ORACLES["daily_snapshot"])
+def daily_of_facts(spark, sf_dir):
+    return from_facts(spark, sf_dir, daily_from_facts)
+
+
 def plain_daily(spark, sf_dir):
     return daily_snapshot(loaded(spark, sf_dir), vocabulary=[])
 
@@ -482,8 +504,9 @@ split_dates AS (
     ),
 )
 def time_split(spark, sf_dir):
-    targets = hist.next_purchase_target(loaded(spark, sf_dir))
-    return splits.time_split(targets).select("user_id", "snapshot_date", "will_purchase_next_7d", "split")
+    events = loaded(spark, sf_dir)
+    targets = hist.next_purchase_target(events)
+    return splits.time_split(targets, dates=hist.snapshot_dates(events, 7)).select("user_id", "snapshot_date", "will_purchase_next_7d", "split")
 
 
 @query(
@@ -496,7 +519,9 @@ def time_split(spark, sf_dir):
     ),
 )
 def split_distribution(spark, sf_dir):
-    return splits.split_distribution(splits.time_split(hist.next_purchase_target(loaded(spark, sf_dir))))
+    events = loaded(spark, sf_dir)
+    targets = hist.next_purchase_target(events)
+    return splits.split_distribution(splits.time_split(targets, dates=hist.snapshot_dates(events, 7)))
 
 
 def _diagnosed_sql(feature: str, value: str) -> str:

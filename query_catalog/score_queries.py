@@ -253,6 +253,48 @@ def audience_segment(spark, sf_dir):
     return ops.segment_users(fixture.audience_rows(spark, sf_dir)).select("user_id", "segment", "segment_label")
 
 
+@query(
+    "segment_reason",
+    with_views(
+        AUDIENCE_SQL + "," + SEGMENT_SQL,
+        """SELECT user_id, CONCAT('Chance of purchase ', CASE segment
+                  WHEN 'hot' THEN CONCAT(printf('%.0f%%', p * 100), '; last active ', CAST(idle AS VARCHAR), ' days ago; events in 7 days: ', CAST(e7 AS VARCHAR))
+                  WHEN 'warm' THEN CONCAT(printf('%.0f%%', p * 100), '; recently active')
+                  WHEN 'cold' THEN CONCAT(printf('%.0f%%', p * 100), '; weak signals')
+                  ELSE CONCAT(printf('%.1f%%', p * 100), '; very low') END) AS segment_reason FROM segments""",
+    ),
+)
+def segment_reason(spark, sf_dir):
+    return ops.segment_users(fixture.audience_rows(spark, sf_dir)).select("user_id", "segment_reason")
+
+
+@query(
+    "user_record",
+    with_views(AUDIENCE_SQL, "SELECT user_id, ROUND(purchase_proba, 6) AS purchase_proba, events_last_7d FROM fx_audience WHERE user_id = '7-x'"),
+)
+def user_record(spark, sf_dir):
+    rows = fixture.audience_rows(spark, sf_dir).select("user_id", "purchase_proba", "events_last_7d")
+    return ops.user_record(rows, "7-x")
+
+
+@query(
+    "prediction_series",
+    with_views(
+        AUDIENCE_SQL,
+        """SELECT user_id, ROUND(purchase_proba, 6) AS purchase_proba, events_last_7d, days_since_last AS will_purchase_pred
+           FROM fx_audience""",
+    ),
+)
+def prediction_series(spark, sf_dir):
+    """A numeric input overrides an output of its name; text inputs are no series."""
+    log = fixture.audience_rows(spark, sf_dir).select(
+        "user_id",
+        F.struct("purchase_proba", "will_purchase_pred").alias("output"),
+        F.struct("events_last_7d", F.col("days_since_last").alias("will_purchase_pred"), F.col("user_id").alias("note")).alias("input"),
+    )
+    return ops.prediction_series(log)
+
+
 @query(
     "activity_share",
     with_views(
@@ -418,6 +460,48 @@ def label_encode(spark, sf_dir):
     return prep.encode_labels(fixture.features_to_score(spark, sf_dir), codes, "last_event_type").select("user_id", "last_event_type")
 
 
+NUMBERS = ["total_spent", "micro_event_growth", "seq_emb_0", "seq_emb_1"]
+PREPARED_SQL = FEATURES_SQL + f""",
+filled AS (
+  SELECT user_id, COALESCE(last_event_type, '__MISSING__') AS last_event_type,
+         {", ".join(f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM fx_features)) AS {c}" for c in NUMBERS)} FROM fx_features),
+quartiles AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in NUMBERS)} FROM filled),
+clipped AS (
+  SELECT user_id, last_event_type,
+         {", ".join(f"GREATEST(a_{c} - 3 * (b_{c} - a_{c}), LEAST(b_{c} + 3 * (b_{c} - a_{c}), {c})) AS {c}" for c in NUMBERS)}
+  FROM filled, quartiles),
+codes AS (SELECT last_event_type, ROW_NUMBER() OVER (ORDER BY last_event_type) - 1 AS code FROM (SELECT DISTINCT last_event_type FROM filled) v)"""
+SCALED_SQL = ", ".join(
+    f"ROUND(({c} - (SELECT AVG({c}) FROM clipped)) / COALESCE(NULLIF((SELECT STDDEV_POP({c}) FROM clipped), 0), 1), 6) AS x_{c}" for c in NUMBERS[2:]
+)
+
+
+@query(
+    "prepare_features",
+    with_views(
+        PREPARED_SQL,
+        f"""SELECT user_id, ROUND(total_spent, 6) AS x_total_spent, micro_event_growth AS x_micro_event_growth, {SCALED_SQL},
+                   CAST(code AS DOUBLE) AS x_last_event_type FROM clipped JOIN codes USING (last_event_type)""",
+    ),
+)
+def prepare_features(spark, sf_dir):
+    preparation, fitted = prep.fit_preparation(fixture.features(spark, sf_dir))
+    return fitted.select("user_id", *preparation.inputs)
+
+
+@query(
+    "default_record",
+    with_views(
+        FEATURES_SQL,
+        f"""SELECT {", ".join(f"ROUND(quantile_cont({c}, 0.5), 6) AS {c}" for c in NUMBERS)}, CAST(0 AS DOUBLE) AS last_event_type
+            FROM fx_features""",
+    ),
+)
+def default_record(spark, sf_dir):
+    preparation, _ = prep.fit_preparation(fixture.features(spark, sf_dir))
+    return preparation.default_record(spark)
+
+
 @query(
     "detect_columns",
     with_views(
