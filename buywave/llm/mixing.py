@@ -95,7 +95,8 @@ def mix(
     key = -F.log(unit_interval("doc_id", seed=seed)) / quality
     rows = materialize(
         docs.select("doc_id", "source", *keep, word_count().alias("size"), key.alias("key")).withColumn(
-            "bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
+            # Half the key: with weights from 0.5 to 1 no bucket gets more than twice its share.
+            "bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key") / 2)) * buckets), F.lit(buckets - 1)).cast("int")
         ),
         "mix",
     )
