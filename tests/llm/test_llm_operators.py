@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -345,6 +346,40 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table.limit(0)).count() == 0
 
 
+APACHE_START = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+
+
+def found_licenses(spark, rows):
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "key bigint, path string, text string")
+    found = {r.key: (r.license, r.found_in) for r in licenses.scan_licenses(table).collect()}
+    return [found[k] for k in range(len(rows))]
+
+
+def test_whole_license_files(spark):
+    prose = "\n".join(f"Word{k} of a long file and nothing about it." for k in range(200))
+    full = dict(licenses.FULL_TEXTS)
+    wrapped = {name: "Copyright (c) 2020 A. Holder\n\n" + "\n".join(textwrap.wrap(text, 72)) for name, text in full.items()}
+    rows = [(f"{name}/LICENSE", text) for name, text in wrapped.items()]
+    rows += [("apache/LICENSE", APACHE_START), ("long/LICENSE", f"{prose}\nLicensed under CC BY-NC 4.0.\n{prose}"), ("long/a/b.txt", "x")]
+    rows += [("plain/LICENSE", f"{prose}\nCopyright of all words.\n{prose}")]
+    wanted = [(name, "file") for name in wrapped]
+    assert found_licenses(spark, rows) == wanted + [("Apache-2.0", "file"), ("CC-BY-NC-4.0", "file"), ("CC-BY-NC-4.0", "directory"), (None, None)]
+
+
+
 # --- shards -----------------------------------------------------------------------------------
 
 
