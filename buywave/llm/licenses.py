@@ -2,8 +2,8 @@
 
 DataFrame functions only. Header lines are lines that hold a licence word. A passage and every template are
 sparse TF-IDF vectors of their words; the template of the highest cosine names the licence if the cosine
-reaches the threshold. Passages are the header lines, the whole licence file, and inside it its lines and every
-window of a template's length. A licence file is compared with full licence texts first. A file without a licence of its
+reaches the threshold. Passages are the header lines, the whole licence file, and inside both every window of a
+template's length. A licence file is compared with full licence texts first. A file without a licence of its
 own inherits that of the licence file in its nearest ancestor directory.
 """
 
@@ -233,6 +233,15 @@ def windows(passages: DataFrame, templates: list, threshold: float = THRESHOLD)
     )
 
 
+def spdx_license(text: str, names: list[str]) -> Column:
+    """The first of ``names`` in the SPDX expression of a line, else null. Identifiers are compared whole."""
+    one = r"[a-z0-9.+-]+"
+    expression = F.regexp_extract(F.lower(text), rf"spdx-license-identifier:\s*\(*({one}(?:\)*\s+(?:or|and|with)\s+\(*{one})*)", 1)
+    said = F.transform(F.split(expression, r"[\s()]+"), lambda x: F.regexp_replace(x, r"(-only|-or-later|\+)$", ""))
+    known = F.create_map(*[F.lit(x) for name in sorted(set(names)) for x in (name.lower(), name)])
+    return F.get(F.filter(F.transform(said, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), F.lit(0))
+
+
 def directory_of(path: Column) -> Column:
     """Everything before the last slash; the empty text at the root."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -259,16 +268,18 @@ def _own_licenses(files: DataFrame, is_file: Column, templates: list, threshold:
         "license-lines",
     )
     # Notices of a licence file may be wrapped, so its windows run over the whole body.
-    runs = candidates.filter("part = 0")
+    runs = candidates.filter("is_file = (part = 0)")
     wanted = templates + NOTICES
     cut = materialize(windows(runs, wanted, threshold), "license-windows")
+    named = spdx_license("text", [name for name, _ in templates])
     columns = ("key", "license", "similarity", "template")
     found = [
         match_templates(candidates, templates, threshold).select(*columns, F.lit(0).alias("rank")),
         match_templates(cut, wanted, threshold, NAMES).select(*columns, F.lit(0).alias("rank")),
+        candidates.select("key", named.alias("license"), F.lit(1.0).alias("similarity"), F.lit(len(wanted)).alias("template"), F.lit(0).alias("rank")).filter("license is not null"),
         match_templates(candidates.filter("part = 0"), FULL_TEXTS, threshold).select(*columns, F.lit(1).alias("rank")),
     ]
-    every = found[0].unionByName(found[1]).unionByName(found[2])
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
     best = F.max(F.struct(F.col("rank"), F.col("similarity"), (-F.col("template")).alias("first"), F.col("license")))
     return every.groupBy("key").agg(best.alias("best")).select("key", "best.license", "best.similarity")
 

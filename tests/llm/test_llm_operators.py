@@ -379,6 +379,25 @@ def test_whole_license_files(spark):
     assert found_licenses(spark, rows) == wanted + [("Apache-2.0", "file"), ("CC-BY-NC-4.0", "file"), ("CC-BY-NC-4.0", "directory"), (None, None)]
 
 
+def test_long_license_headers(spark):
+    headers = {
+        "We wrote all of these pages in spring. Licensed under CC BY-NC 4.0. Please send us your remarks.": "CC-BY-NC-4.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "Apache-2.0",
+        "Copyright 2020 X. All rights reserved. Licensed under the MIT license.": "MIT",
+        "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.": "GPL-3.0",
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0",
+        "SPDX-License-Identifier: (Zlib OR BSD-3-Clause)": "BSD-3-Clause",
+        "SPDX-License-Identifier: Zlib": None,
+        "SPDX-License-Identifier: GPL-1.0": None,
+        "This software is released under the license of the company and may not be copied.": None,
+        "Licensed under the Foo License, all uses need our written approval first.": None,
+    }
+    rows = [(f"{k}.txt", f"first line\n{text}\nlast line") for k, text in enumerate(headers)]
+    assert found_licenses(spark, rows) == [(name, name and "header") for name in headers.values()]
+
 
 # --- shards -----------------------------------------------------------------------------------
 
