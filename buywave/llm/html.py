@@ -33,6 +33,8 @@ BLOCKS_AT_ONCE = 20_000
 _UNSEEN = {"script", "style", "head", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = set("a abbr b bdi bdo cite code data dfn del em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button".split())
+#: Tags that may stand in a head; any other start tag, or text, ends a head that is left open.
+_IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Tags that end an open paragraph, list item, cell or row of the same kind.
 _PARAGRAPH = {"p"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -114,7 +116,14 @@ class _Blocks:
             self.pieces = []
         self.linked = 0
 
+    def in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def start_tag(self, tag: str, attributes: str) -> None:
+        if self.in_head() and tag not in _IN_HEAD:
+            if tag in ("head", "html"):
+                return
+            self.cut(len(self.open) - 1)
         if tag in _VOID:
             if tag == "br":
                 self.pieces.append(" ")
@@ -152,6 +161,8 @@ class _Blocks:
         del self.open[k:]
 
     def text(self, data: str) -> None:
+        if self.unseen == 1 and self.in_head() and data.strip(" \t\n\f\r"):
+            self.cut(len(self.open) - 1)
         if not self.unseen and data:
             self.pieces.append(entities.unescape(data) if "&" in data else data)
             if self.links:

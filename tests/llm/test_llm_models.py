@@ -55,6 +55,13 @@ def test_quality_lines():
     assert quality.line_features([[""], ["x" * 10, "A B"]]).shape == (3, quality.WIDTH)
 
 
+def test_head_without_end_tag():
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>t</title><style>p{}</style><script>var a='<p>';</script>\n"
+    for body in ("<body><p>a<p>b", "<p>a<p>b</html>", "<img src=x><div>a</div><div>b</div>", "a<p>b", "</head><body><p>a<p>b"):
+        assert [x[0] for x in html.leaf_blocks(head + body)] == ["a", "b"], body
+    assert html.leaf_blocks(head + "<template><p>x</p></template><noscript><p>y</p></noscript></head>") == []
+
+
 def test_page_blocks():
     page = "<body><p>a <b>b</b>&amp;c<p>d<br>e &lt; f<ul><li>x<li>y</ul><script>if (a<b) {'<p>no'}</script><!-- no --><div>z<"
     assert [x[0] for x in html.leaf_blocks(page)] == ["a b&c", "d e < f", "x", "y", "z<"]
