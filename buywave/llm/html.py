@@ -64,21 +64,30 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Every attribute is read, so that nothing inside a quoted value is taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attribute texts up to this length are remembered; longer ones are read each time.
+_REMEMBERED = 1000
 
 
-@functools.lru_cache(maxsize=4096)
-def _kinds(attributes: str) -> tuple[int, ...]:
+def _read_kinds(attributes: str) -> tuple[int, ...]:
     kinds = []
     for name, value in _ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() == "role":
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role":
             kinds += [_ROLES[value]] if value in _ROLES else []
-        else:
+        elif name in ("class", "id"):
             kinds += [_WORD_KIND[w] for w in re.split(r"[^a-z]+", value) if w in _WORD_KIND]
     return tuple(kinds)
 
 
+_remembered_kinds = functools.lru_cache(maxsize=4096)(_read_kinds)
+
+
+def _kinds(attributes: str) -> tuple[int, ...]:
+    return _remembered_kinds(attributes) if len(attributes) < _REMEMBERED else _read_kinds(attributes)
+
+
 class _Blocks:
     """Collects (text, characters inside links, open ancestors) for every leaf block."""
 
@@ -133,7 +142,7 @@ class _Blocks:
         if tag not in _INLINE:
             self.flush()
             self.close_until(_CLOSES.get(tag, _PARAGRAPH))
-        self.open.append((tag, _kinds(attributes) if "=" in attributes and len(attributes) < 1000 else ()))
+        self.open.append((tag, _kinds(attributes) if "=" in attributes else ()))
         self.links += tag == "a"
         self.unseen += tag in _UNSEEN
 

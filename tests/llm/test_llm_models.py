@@ -62,6 +62,14 @@ def test_head_without_end_tag():
     assert html.leaf_blocks(head + "<template><p>x</p></template><noscript><p>y</p></noscript></head>") == []
 
 
+def test_long_attributes():
+    style, words = f' style="{"margin:0;" * 500}"', f" data-page='{'<p class=\"comment\"> id=menu ' * 100}'"
+    for attributes in ('class="advert"', "id=advert", 'CLASS = "x advert"'):
+        short = html.leaf_blocks(f"<div {attributes}>a</div>")
+        assert short[0][2][0][1] and html.leaf_blocks(f"<div{style}{words} {attributes}>a</div>") == short
+        assert html.leaf_blocks(f"<div {attributes}{words}{style}>a</div>") == short
+
+
 def test_page_blocks():
     page = "<body><p>a <b>b</b>&amp;c<p>d<br>e &lt; f<ul><li>x<li>y</ul><script>if (a<b) {'<p>no'}</script><!-- no --><div>z<"
     assert [x[0] for x in html.leaf_blocks(page)] == ["a b&c", "d e < f", "x", "y", "z<"]
