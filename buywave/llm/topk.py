@@ -23,20 +23,23 @@ from buywave.llm.common import materialize, ship
 
 SCALE = 256
 SLAB_ROWS, BLOCK_ROWS, GROUP_QUERIES = 4096, 256, 2048
-#: Components beyond this are cut to it, so that a product of two always fits a long.
-LARGEST = (1 << 28) - 1
 _PACKED = "ids binary, width int, body binary"
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, v): floor(256 x) of every component. Rows with a null id, a null vector, no components or
-    a null or non-finite component are left out."""
+    a null or non-finite component are left out. A component that does not fit a long is an error."""
     x = F.col("x")
+
+    def whole(c: Column) -> Column:
+        too_large = F.raise_error(F.lit("a component times 256 does not fit a long")).cast("bigint")
+        return F.when(F.abs(c * SCALE) < F.lit(2.0**63), F.floor(c * SCALE)).otherwise(too_large)
+
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     return (
         vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("x"))
         .filter(F.col("id").isNotNull() & x.isNotNull() & (F.size("x") > 0) & finite)
-        .select("id", F.transform("x", lambda c: F.greatest(F.least(F.floor(c * SCALE), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int")).alias("v"))
+        .select("id", F.transform("x", whole).alias("v"))
     )
 
 
@@ -59,22 +62,44 @@ def _pack(rows: DataFrame, most: int) -> DataFrame:
 
 def _packed(part: list) -> pd.DataFrame:
     ids = np.array([i for i, _ in part], dtype=np.int64)
-    body = np.array([v for _, v in part], dtype=np.int32)
+    body = np.array([v for _, v in part], dtype=np.int64)
+    # Half as many bytes where they do; the reader tells the two apart by the length.
+    if _largest(body) < 1 << 31:
+        body = body.astype(np.int32)
     return pd.DataFrame({"ids": [ids.tobytes()], "width": [body.shape[1]], "body": [body.tobytes()]})
 
 
 def _unpacked(ids: bytes, body: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.frombuffer(body, dtype=np.int32).reshape(-1, width)
-    largest = float(np.abs(matrix).max(initial=1))
-    # Sums below 2**53 are exact in floating point, which is far faster; else longs.
-    return np.frombuffer(ids, dtype=np.int64), matrix.astype(np.float64 if largest**2 * width < 2**52 else np.int64)
+    whole = np.frombuffer(ids, dtype=np.int64)
+    kind = np.int32 if len(body) == 4 * width * len(whole) else np.int64
+    return whole, np.frombuffer(body, dtype=kind).reshape(-1, width)
+
+
+def _largest(matrix: np.ndarray) -> int:
+    return max(abs(int(matrix.max(initial=0))), abs(int(matrix.min(initial=0))))
+
+
+def _exact_type(queries: np.ndarray, rows: np.ndarray) -> type:
+    """A type in which all scores and bounds of the two are exact. Sums below 2**53 are so in floating
+    point, which is far the fastest; then longs, then Python's integers."""
+    most = _largest(queries) * _largest(rows) * rows.shape[1]
+    largest = max(_largest(queries), _largest(rows))
+    if max(most, largest) < 1 << 52:
+        return np.float64
+    return np.int64 if most < 1 << 62 else object
+
+
+def _as_long(numbers: np.ndarray) -> np.ndarray:
+    return numbers if numbers.dtype == object else numbers.astype(np.int64)
 
 
 def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block_rows: int = BLOCK_ROWS):
-    """The k best (query, row, score) within one slab: arrays (queries, k), filled up with -1."""
-    if queries.dtype != rows.dtype:
-        queries, rows = queries.astype(np.int64), rows.astype(np.int64)
-    low = np.array(np.iinfo(np.int64).min).astype(np.int64)
+    """The k best (query, row, score) within one slab: arrays (queries, k), filled up with -1.
+
+    Raises if a score among them does not fit a long."""
+    exact = _exact_type(queries, rows)
+    queries, rows = queries.astype(exact, copy=False), rows.astype(exact, copy=False)
+    low = np.iinfo(np.int64).min
     n_blocks = -(-len(ids) // block_rows)
     cuts = [slice(b * block_rows, (b + 1) * block_rows) for b in range(n_blocks)]
     highest = np.stack([rows[c].max(axis=0) for c in cuts])
@@ -82,20 +107,20 @@ def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, row
     bounds = np.maximum(queries, 0) @ highest.T + np.minimum(queries, 0) @ lowest.T
     order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(query_ids)
-    best = np.full((n, k), low, dtype=np.int64)
+    best = np.full((n, k), low, dtype=object if exact is object else np.int64)
     best_id = np.full((n, k), -1, dtype=np.int64)
     found = np.zeros((n, k), dtype=bool)
     active = np.arange(n)
     for turn in range(n_blocks):
         which = order[active, turn]
-        bound = bounds[active, which].astype(np.int64)
+        bound = _as_long(bounds[active, which])
         still = ~found[active, k - 1] | (bound >= best[active, k - 1])
         active, which = active[still], which[still]
         if not len(active):
             break
         for b in np.unique(which):
             mine = active[which == b]
-            score = (queries[mine] @ rows[cuts[b]].T).astype(np.int64)
+            score = _as_long(queries[mine] @ rows[cuts[b]].T)
             block_ids = ids[cuts[b]]
             is_other = block_ids[None, :] != query_ids[mine][:, None]
             # Only rows that can still enter are ranked.
@@ -105,8 +130,12 @@ def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, row
                 line = score[np.searchsorted(mine, q), at]
                 s = np.concatenate([best[q][found[q]], line])
                 i = np.concatenate([best_id[q][found[q]], block_ids[at]])
-                top = np.lexsort((i, -s))[:k]
+                top = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k] if exact is object else np.lexsort((i, -s))[:k]
                 best[q, : len(top)], best_id[q, : len(top)], found[q, : len(top)] = s[top], i[top], True
+    if exact is object:
+        if any(not low <= x < 1 << 63 for x in best[found]):
+            raise OverflowError("a score does not fit a long")
+        best = best.astype(np.int64)
     return best_id, best, found
 
 
@@ -124,7 +153,8 @@ def top_k(
     ``is_query`` is a condition on ``id``. Candidates are all rows but those with the query's own id,
     of the query's number of dimensions. Equal scores go to the smaller id. Queries without a candidate
     give no row; rows with an unusable vector take no part; a repeated id is repeated as query and as
-    candidate, but its repeats do not find each other. Components are cut to 28 bits.
+    candidate, but its repeats do not find each other. Scores are exact at any size; a component or a score
+    that does not fit a long is an error.
     """
     ship(vectors.sparkSession)
     rows = materialize(quantized(vectors, id_column, vector_column), "quantized")

@@ -182,6 +182,35 @@ def test_top_k_large_components_stay_exact(spark):
         assert r.score == sum(x * y for x, y in zip(whole[r.query_id], whole[r.vec_id]))
 
 
+@pytest.mark.parametrize("size", [2.0**20, 2.0**22 + 0.5, 2.0**40, 2.0**45])
+def test_top_k_is_exact_at_any_size(spark, size):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice((-1, 1)) * (size + rng.randint(0, 3)) if k % 2 else rng.choice((-0.5, 0.25, 3.0)), rng.random()]) for k in range(120)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0, slab_rows=32).collect()
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
+    wanted = []
+    for q in range(0, 120, 50):
+        near = sorted((-sum(x * y for x, y in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near[:5])]
+    assert sorted(tuple(r) for r in found) == wanted
+
+
+@pytest.mark.parametrize("size", [1e9, 1e17, 1e300])
+def test_top_k_fails_where_a_score_does_not_fit(spark, size):
+    rows = [(k, [size, float(k)]) for k in range(60)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0).collect()
+
+
+def test_search_slab_with_products_beyond_a_long():
+    rows = np.array([[1 << 60, 1 << 60, 3], [1 << 60, -(1 << 60), 5], [1, 1, 2]], dtype=np.int64)
+    queries = np.array([[1 << 58, -(1 << 58), 7]], dtype=np.int64)
+    best_id, best, _ = topk.search_slab(np.array([9]), queries, np.arange(1), rows[:1], 1)
+    assert best_id.tolist() == [[0]] and best.tolist() == [[21]]
+    with pytest.raises(OverflowError):
+        topk.search_slab(np.array([9]), queries, np.arange(3), rows, 1)
+
+
 # --- mixing -----------------------------------------------------------------------------------
 
 
