@@ -323,6 +323,12 @@ def near_duplicates(
     other. Null ids count as no id: a component of only such rows has a null component_id. Repeated
     rows all come back. Other columns of ``docs`` are not read, so their names cannot clash.
     """
+    found = _grouped(docs, shingle_words, distance, keep, text, id_column)
+    return found.select(id_column, *keep, hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, distance: int, keep: tuple[str, ...], text: str, id_column: str) -> DataFrame:
+    """Every row's id, ``keep`` columns, fingerprint, component_id and the component's smallest fingerprint, root."""
     marked = materialize(fingerprints(docs, [id_column, *keep], shingle_words, text), "fingerprints")
     distinct = materialize(
         marked.groupBy("fingerprint").agg(F.min(id_column).alias("least_id")), "distinct-fingerprints"
@@ -332,10 +338,8 @@ def near_duplicates(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
     )
     smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = placed.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "component_id")
-    return marked.join(answer, "fingerprint").select(
-        id_column, *keep, hex_digits("fingerprint").alias("fingerprint"), "component_id"
-    )
+    answer = placed.select("fingerprint", "root").join(smallest, "root")
+    return marked.join(answer, "fingerprint").select(id_column, *keep, "fingerprint", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 4, distance: int = 4) -> DataFrame:
@@ -345,9 +349,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 4, distance: int = 4) -> Data
     in id, source and text one stays.
     """
     keyed = with_content_keys(docs)
-    groups = near_duplicates(keyed, shingle_words, distance, keep=CONTENT_KEYS)
+    groups = _grouped(keyed, shingle_words, distance, CONTENT_KEYS, "text", "doc_id")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", *CONTENT_KEYS)
-    # Rows without any id in reach are grouped by their fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    winners = groups.groupBy(group.alias("g")).agg(F.min(first).alias("w"))
+    # By root, which components without any id have too.
+    winners = groups.groupBy("root").agg(F.min(first).alias("w"))
     return rows_of(keyed, winners.select(*[F.col(f"w.{c}") for c in CONTENT_KEYS]))

@@ -117,6 +117,19 @@ def test_near_duplicates_awkward(spark):
     assert simhash.near_duplicates(nameless).first().component_id is None
 
 
+def test_keep_one_of_near_copies_without_ids(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join(words[:1500] + ["other"] + words[1501:]), " ".join(reversed(words))]
+    prints = [simhash.fingerprint(t, 4) for t in texts]
+    assert 1 <= (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[0] ^ prints[2]).bit_count()
+    for ids, wanted in (((None, None, None), [None, None]), ((None, 2, None), [2, None]), ((5, 2, 2), [2, 2])):
+        docs = spark.createDataFrame([(i, t, "en", "a") for i, t in zip(ids, texts)], "doc_id bigint, text string, lang string, source string")
+        kept = simhash.keep_one(docs).collect()
+        assert sorted(map(str, (r.doc_id for r in kept))) == sorted(map(str, wanted)), ids
+        assert texts[2] in {r.text for r in kept}
+
+
 # --- chats ------------------------------------------------------------------------------------
 
 
