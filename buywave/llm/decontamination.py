@@ -142,11 +142,12 @@ def entries_of(question: list[bytes], answer: list[bytes]) -> Iterator[Counter]:
 
 @dataclass
 class Statistics:
-    """Entries, their mean length, and how many of them hold a term."""
+    """Entries, their mean length, how many of them hold a term, and the words of the longest item."""
 
     entries: int
     mean_length: float
     holding: dict[bytes, int]
+    longest: int = 0
 
     @classmethod
     def of(cls, entries: list[Counter]) -> Statistics:
@@ -206,6 +207,7 @@ def build_index(
     hashes, _ = word_hashes(list(vocabulary))
     by_hash = np.argsort(hashes)
     longest = max((len(x[1]) + len(x[2]) for x in split), default=0)
+    longest = max(longest, known.longest)
     return Index(
         split,
         np.array(entry_item, dtype=np.int64),
@@ -301,23 +303,25 @@ def _verified(words: list[bytes], start: int, index: Index, item: int) -> tuple[
 
 def term_counts(items: DataFrame) -> DataFrame:
     """(term, n): how many entries of the whole benchmark hold the term; the row without a term counts the
-    entries and, in ``words``, their words."""
+    entries and, in ``words``, their words, and has the words of the longest item."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             holding: Counter = Counter()
-            n = words = 0
+            n = words = longest = 0
             for text in batch.column("text"):
-                for entry in entries_of(*question_and_answer(text.as_py())):
+                question, answer = question_and_answer(text.as_py())
+                longest = max(longest, len(question) + len(answer))
+                for entry in entries_of(question, answer):
                     holding.update(entry.keys())
                     n, words = n + 1, words + sum(entry.values())
-            rows = [(None, n, words), *((t, c, 0) for t, c in holding.items())]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "words"])
+            rows = [(None, n, words, longest), *((t, c, 0, 0) for t, c in holding.items())]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "words", "longest"])
 
     ship(items.sparkSession)
-    found = items.distinct().select("text").mapInArrow(counted, "term binary, n bigint, words bigint")
-    return found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    found = items.distinct().select("text").mapInArrow(counted, "term binary, n bigint, words bigint, longest bigint")
+    return found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
 
 
 def statistics_for(part: list[tuple], counts: DataFrame) -> Statistics:
@@ -327,13 +331,14 @@ def statistics_for(part: list[tuple], counts: DataFrame) -> Statistics:
     whole = counts.filter(F.col("term").isNull()).first()
     holding = {bytes(r["term"]): r["n"] for r in counts.join(wanted, "term").collect()}
     n = whole["n"] if whole else 0
-    return Statistics(n, whole["words"] / max(n, 1) if whole else 0.0, holding)
+    return Statistics(n, whole["words"] / max(n, 1) if whole else 0.0, holding, whole["longest"] if whole else 0)
 
 
 def indexes(benchmark: DataFrame, max_items: int | None = None, max_chars: int | None = None) -> Iterator[Index]:
     """Indexes that cover the benchmark: one if its measured size allows, else one per part.
 
-    Scores do not depend on the number of parts: all use the term statistics of the whole benchmark.
+    Scores and passages do not depend on the number of parts: all use the term statistics and the longest item
+    of the whole benchmark. The items of one part at a time come to the driver.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text("text").alias("text"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()

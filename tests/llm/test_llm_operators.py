@@ -354,6 +354,26 @@ def test_decontamination_awkward(spark):
     assert decontamination.clean_documents(awkward(spark), items.limit(0)).count() == 10
 
 
+def test_parts_of_a_benchmark_find_what_one_index_finds(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"q{rng.randrange(4000)}" for _ in range(n)) + ". " + " ".join(f"a{rng.randrange(4000)}" for _ in range(12)) + ".") for k, n in enumerate((20, 24, 28, 30, 36, 40, 300))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = next(decontamination.indexes(benchmark))
+    assert {x.text_block for x in decontamination.indexes(benchmark, max_items=2)} == {whole.text_block}
+    rows = []
+    for doc in range(60):
+        # Halves of an item with other words between them: whether it is found depends on the passage.
+        question, answer = items[doc % 6][1].split(". ")
+        filler = " ".join(f"f{rng.randrange(10**6)}" for _ in range(doc * 7 % 290))
+        rows.append((doc, f"{filler} {question}. {filler} {answer} {filler}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "INDEX_ITEMS", 2)
+    found = sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
+    assert wanted and [r[:2] for r in found] == [r[:2] for r in wanted]
+    assert np.allclose([r[2:] for r in found], [r[2:] for r in wanted])
+
+
 # --- licences ---------------------------------------------------------------------------------
 
 
