@@ -34,7 +34,7 @@ RANGES = (21, 21, 22)
 #: Fingerprints wanted under one path prefix, and most rows of one task's group before it is split.
 GROUP_ROWS, SPLIT_ROWS = 256, 50_000
 #: Rows walked at once in a task, and node pairs held at once.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 2_000_000
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 200_000
 #: Hashes counted at once, which bounds the memory for very long texts.
 HASHES_AT_ONCE = 1 << 16
 
