@@ -89,26 +89,63 @@ def portions(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
 
 #: Names of the two content hashes that tell rows apart; both together have 128 bits.
 CONTENT_KEYS = ("content_key_1", "content_key_2")
+#: Copies of one row that a task makes at once; more are dealt to several tasks.
+COPIES_AT_ONCE = 10_000
 
 
 def with_content_keys(docs: DataFrame) -> DataFrame:
-    """All columns as the struct ``row``, beside doc_id, source, text and two content hashes.
+    """All columns as the struct ``row``, beside doc_id, source, text and two hashes of the whole row.
 
-    Ids need not be unique and may be null; rows with equal hashes agree in id, source and text.
+    Ids need not be unique and may be null; rows with equal hashes agree in every column. Hashes pass over
+    nulls, so which columns are null is hashed as well. Columns that hold maps are hashed as JSON texts.
     """
     one, two = CONTENT_KEYS
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    values = [
+        F.to_json(F.struct(c.alias("c"))) if "map<" in kind else c for c, (_, kind) in zip(named, docs.dtypes)
+    ]
+    nulls = F.array(*[c.isNull() for c in named])
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*named).alias("row"),
         "doc_id",
         "source",
         "text",
-        F.xxhash64("doc_id", "source", "text").alias(one),
-        F.xxhash64("text", F.lit(1), "source", "doc_id").alias(two),
+        F.xxhash64(nulls, *values).alias(one),
+        F.xxhash64(*reversed(values), nulls).alias(two),
     )
 
 
+def repeated_here(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row ``times`` times, numbered from 1 in ``number``, made by the task that has the row."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    some = rows.filter(F.col(times) > 0)
+    return some.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias(number))
+
+
+def repeated_apart(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """As ``repeated_here``, but runs of ``COPIES_AT_ONCE`` copies are dealt over the tasks first."""
+    step = F.lit(COPIES_AT_ONCE).cast("bigint")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1, step))
+    runs = rows.filter(F.col(times) > 0).withColumn("run start", starts)
+    run = F.sequence(F.col("run start") + 1, F.least(F.col("run start") + step, F.col(times)))
+    return runs.repartition("run start", *kept).select(*kept, F.explode(run).alias(number))
+
+
+def few_and_many(rows: DataFrame, times: str) -> tuple[DataFrame, DataFrame]:
+    return rows.filter(F.col(times) <= COPIES_AT_ONCE), rows.filter(F.col(times) > COPIES_AT_ONCE)
+
+
+def numbered_copies(rows: DataFrame, number: str = "copy") -> DataFrame:
+    """``rows`` with equal ones numbered from 1: counted in the map tasks, then repeated. No window over
+    equal rows."""
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias("copies"))
+    few, many = few_and_many(counted, "copies")
+    return repeated_here(few, "copies", number).unionByName(repeated_apart(many, "copies", number))
+
+
 def rows_of(keyed: DataFrame, decided: DataFrame, *more: str) -> DataFrame:
     """The rows that ``decided`` names by content keys, once per row of ``decided``, with its columns
-    ``more`` after their own. Rows of equal content are reduced to one in the map tasks first."""
+    ``more`` after their own. Equal rows are reduced to one in the map tasks first."""
     texts = keyed.select("row", *CONTENT_KEYS).dropDuplicates(list(CONTENT_KEYS))
     return texts.join(decided, list(CONTENT_KEYS)).select("row.*", *more)

@@ -12,10 +12,24 @@ single task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buywave.llm.common import CONTENT_KEYS, WORD, materialize, rows_of, unit_interval, whole_text, with_content_keys
+from buywave.llm.common import (
+    CONTENT_KEYS,
+    WORD,
+    few_and_many,
+    materialize,
+    numbered_copies,
+    repeated_apart,
+    repeated_here,
+    rows_of,
+    unit_interval,
+    whole_text,
+    with_content_keys,
+)
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -26,13 +40,16 @@ SYMBOLS = "#$%&*@|~^<>{}[]\\\\=+_"
 
 
 def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    """How many words, found as the length of the text with one letter for each word: no array of words."""
+    blank = r"[\x20\x09-\x0D]*"
+    marks = F.length(F.regexp_replace(F.col(text), blank + WORD + blank, "x"))
+    return F.when(F.col(text).rlike(WORD), marks).otherwise(0).cast("bigint")
 
 
 def quality_weight(text: str = "text") -> Column:
     """Between 0.5 and 1: one minus five times the share of symbols, at least one half."""
     body = whole_text(text)
-    symbols = F.length(body) - F.length(F.translate(body, SYMBOLS, ""))
+    symbols = F.length(F.regexp_replace(body, f"[^{re.escape(SYMBOLS)}]+", ""))
     return F.greatest(F.lit(0.5), F.lit(1.0) - F.lit(5.0) * symbols / F.greatest(F.length(body), F.lit(1)))
 
 
@@ -88,13 +105,19 @@ def mix(
     ``epochs`` is how often the mix holds the document and ``taken`` its words in the mix. The last
     sampled document of a source is taken if that brings the sum nearer to the target. Null texts and
     texts without words have size 0 and are taken in complete epochs only. A null source is a source of
-    its own. Repeated rows are separate documents. ``quality`` is a weight in [0.5, 1] by default from the
+    its own. Repeated rows are separate documents, and so are rows without an id: the key comes from id, text
+    and a number among equal rows, so that no id fills one bucket. ``quality`` is a weight in [0.5, 1] by default from the
     text alone; null weights count as 0.5.
     """
     quality = F.greatest(F.coalesce(quality if quality is not None else quality_weight(), F.lit(0.5)), F.lit(1e-6))
-    key = -F.log(unit_interval("doc_id", seed=seed)) / quality
+    digest = F.md5(whole_text("text")).alias("digest")
+    measured = docs.select("doc_id", "source", *keep, word_count().alias("size"), quality.alias("quality"), digest)
+    key = -F.log(unit_interval("doc_id", "digest", "copy", seed=seed)) / F.col("quality")
     rows = materialize(
-        docs.select("doc_id", "source", *keep, word_count().alias("size"), key.alias("key")).withColumn(
+        numbered_copies(measured)
+        .withColumn("key", key)
+        .drop("quality", "digest")
+        .withColumn(
             # Half the key: with weights from 0.5 to 1 no bucket gets more than twice its share.
             "bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key") / 2)) * buckets), F.lit(buckets - 1)).cast("int")
         ),
@@ -108,7 +131,7 @@ def mix(
         targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
     )
     plan = plan.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keep)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *keep, "copy")
     placed = rows.withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(0).cast("bigint")
@@ -126,10 +149,11 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with the same columns.
 
-    Rows of equal id, source and text are repeated as often as ``mix`` takes them together.
+    Rows that agree in every column are repeated as often as ``mix`` takes them together.
     """
     keyed = with_content_keys(docs)
     taken = mix(keyed, keep=CONTENT_KEYS, **options).filter("epochs > 0")
-    times = taken.groupBy(*CONTENT_KEYS).agg(F.sum("epochs").alias("times"))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))
-    return rows_of(keyed, times.select(*CONTENT_KEYS, copies.alias("mix copy")))
+    times = materialize(taken.groupBy(*CONTENT_KEYS).agg(F.sum("epochs").alias("times")), "mix-times")
+    few, many = few_and_many(times, "times")
+    copies = repeated_here(rows_of(keyed, few, "times"), "times", "mix copy")
+    return copies.unionByName(repeated_apart(rows_of(keyed, many, "times"), "times", "mix copy")).drop("mix copy")

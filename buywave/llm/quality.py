@@ -26,7 +26,7 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 TRAIN_DOCUMENTS, TRAIN_LINES = 3000, 80
 ACCEPT = 0.7
 #: Characters classified at once, which bounds a task's memory whatever the batch holds.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 _UPPER, _LETTER, _DIGIT, _SPACE, _MARK, _SYMBOL = range(6)
 _SENTENCE_MARKS = ".,;:!?'\"()-"
@@ -119,7 +119,9 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_documents: int, max_l
     """Line measures of a bounded sample of labelled documents outside the held-out fold.
 
     The ids are drawn by a hash, so the sample does not depend on partitioning. Ids labelled both
-    good and bad, null ids and null labels are left out.
+    good and bad, null ids and null labels are left out. Of several texts of one id the one of the smallest
+    hash is taken, so the bound holds for the rows too. Labelled documents of more than ``max_lines`` lines are
+    left out of the fit.
     """
     sample = (
         labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("good"))
@@ -132,7 +134,9 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_documents: int, max_l
         .select("id", "good")
     )
     texts = docs.select(F.col("doc_id").alias("id"), whole_text("text").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id")  # at most max_documents ids
+    labelled = texts.join(F.broadcast(sample), "id")  # at most max_documents ids
+    # One text an id, reduced in the map tasks: at most max_documents rows.
+    rows = labelled.groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

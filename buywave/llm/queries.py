@@ -113,12 +113,18 @@ def _mixing_sql() -> str:
     symbols = "".join(sorted(set(mixing.SYMBOLS)))
     weights = ", ".join(f"CAST({w} AS DOUBLE)" for w in mixing.WEIGHTS)
     return rf"""
-WITH docs AS (
+WITH measured AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    -ln((CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-      / greatest(0.5, 1.0 - 5.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{symbols}', '')))
-                            / greatest(length(coalesce(text, '')), 1)) AS key
+    greatest(0.5, 1.0 - 5.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{symbols}', '')))
+                        / greatest(length(coalesce(text, '')), 1)) AS quality,
+    md5(coalesce(text, '')) AS digest
   FROM documents),
+copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, quality, digest) AS copy FROM measured),
+docs AS (
+  SELECT doc_id, source, size, copy,
+    -ln((CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || digest || '|' || copy), 1, 13) AS BIGINT)
+         + 0.5) / 4503599627370496.0) / quality AS key
+  FROM copies),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighted AS (
   SELECT *, CAST(source_size AS DOUBLE) * {mixing.MOST_EPOCHS} AS cap,
@@ -133,7 +139,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN level >= cap / weight THEN cap
     ELSE weight * (SELECT arg_min(level, place) FROM levels WHERE level < cap / weight) END AS target FROM levels),
 placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM docs),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) - size AS start FROM docs),
 planned AS (
   SELECT p.*, source_size, target,
     CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-9), {mixing.MOST_EPOCHS}) ELSE 0 END AS whole

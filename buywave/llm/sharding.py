@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buywave.llm.common import CONTENT_KEYS, materialize, rows_of, unit_interval, with_content_keys
+from buywave.llm.common import CONTENT_KEYS, materialize, numbered_copies, rows_of, unit_interval, with_content_keys
 
 SHARDS = 40
 SEED = 9
@@ -52,28 +52,28 @@ def assign_shards(
 
     The law is ``rows``: shard sizes differ by one row at most, and ``slot`` numbers a shard's rows from
     0 without gaps. ``grown_shard`` is null under that law. A null source is a source of its own, null
-    texts have no bytes, null ids are shuffled as one value. Rows that agree in id, size and checksum may
-    swap places, which changes nothing visible. Fewer rows than shards leave the shards between empty.
+    texts have no bytes. The shuffle key comes from id, size, checksum, ``keep`` and a number among equal rows,
+    so rows without an id or with one id are spread like any others. Fewer rows than shards leave the shards between empty.
     """
-    hashed = unit_interval("doc_id", seed=seed)
+    measured = docs.select(
+        "doc_id",
+        "source",
+        *keep,
+        size_in_shard().alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    hashed = unit_interval("doc_id", "size", "text_crc32", *keep, "copy", seed=seed)
     rows = materialize(
-        docs.select(
-            "doc_id",
-            "source",
-            *keep,
-            size_in_shard().alias("size"),
-            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-            hashed.alias("u"),
-        ).withColumn("bucket", F.floor(F.col("u") * buckets).cast("int")),
+        numbered_copies(measured).withColumn("u", hashed).withColumn("bucket", F.floor(F.col("u") * buckets).cast("int")),
         "shuffled",
     )
-    ties = ["doc_id", "size", "text_crc32", *keep]
+    ties = ["doc_id", "size", "text_crc32", *keep, "copy"]
     ranked = _numbered(rows, ("source",), "bucket", ["u", *ties], "rank")
     fraction = (F.col("rank") - F.lit(0.5)) / F.col("rank_of")
     spread = materialize(
         ranked.withColumn("fraction", fraction)
         .withColumn("stretch", F.floor(F.col("fraction") * buckets).cast("int"))
-        .select("doc_id", "source", *keep, "size", "text_crc32", "u", "fraction", "stretch"),
+        .select("doc_id", "source", *keep, "size", "text_crc32", "copy", "u", "fraction", "stretch"),
         "interleaved",
     )
     lined_up = _numbered(spread, (), "stretch", ["fraction", F.col("source").isNull(), "source", "u", *ties], "position")

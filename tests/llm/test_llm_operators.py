@@ -1,5 +1,6 @@
 """Every operator and stage on Spark: brute force, and nulls, empties, ties, repeats, clashing names."""
 
+import hashlib
 import math
 import random
 import textwrap
@@ -190,7 +191,7 @@ def test_top_k_awkward(spark):
 def test_top_k_large_components_stay_exact(spark):
     rows = [(k, [float(3_000_001 + k), float(k)]) for k in range(60)]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 50 == 0).collect()
-    whole = {k: [math.floor(256 * x) if 256 * x < 2**28 else 2**28 - 1 for x in v] for k, v in rows}
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
     for r in found:
         assert r.score == sum(x * y for x, y in zip(whole[r.query_id], whole[r.vec_id]))
 
@@ -468,7 +469,8 @@ def test_shards_follow_the_method(spark):
     docs = small(spark, "documents")
     rows = sharding.assign_shards(docs, buckets=8).collect()
     texts = {r.doc_id: r for r in docs.collect()}
-    key = {d: int(__import__("hashlib").md5(f"9|{d}".encode()).hexdigest()[:13], 16) for d in texts}
+    named = {d: f"9|{d}|{len(r.text.encode()) + 16}|{zlib.crc32(r.text.encode())}|1" for d, r in texts.items()}
+    key = {d: int(hashlib.md5(name.encode()).hexdigest()[:13], 16) for d, name in named.items()}
     order = []
     for source in {r.source for r in texts.values()}:
         ids = sorted((d for d in texts if texts[d].source == source), key=key.get)
@@ -495,6 +497,50 @@ def test_shards_awkward(spark):
     assert whole.count() == 10 and sorted({r.shard for r in whole.collect()}) == [0, 1, 2, 3]
 
 
+def spread_docs(spark):
+    """Rows of which a third has no id and a third one id, with sizes and sources that repeat."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id"))
+    words = F.concat_ws(" ", F.array_repeat(F.lit("word"), (F.col("id") % 5 + 1).cast("int")))
+    return spark.range(12_000).select(ids.cast("bigint").alias("doc_id"), words.alias("text"), F.lit("s").alias("source"))
+
+
+def test_hot_ids_fill_no_bucket(spark, monkeypatch):
+    from buywave.llm import common
+
+    monkeypatch.setattr(common, "COPIES_AT_ONCE", 100)
+    docs = spread_docs(spark)
+    written = {}
+
+    def seen(df, name):
+        made = common.materialize(df, name)
+        written[name] = made
+        return made
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    monkeypatch.setattr(sharding, "materialize", seen)
+    assert mixing.mix(docs, buckets=32).count() == 12_000
+    assert written["mix"].groupBy("bucket").count().agg(F.max("count")).first()[0] < 1_000
+    rows = sharding.assign_shards(docs, buckets=32).collect()
+    assert len(rows) == 12_000 and set(Counter(r.shard for r in rows).values()) == {300}
+    assert written["shuffled"].groupBy("bucket").count().agg(F.max("count")).first()[0] < 1_000
+    again = sharding.assign_shards(docs.repartition(5), buckets=32).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+
+
+def test_stages_keep_rows_that_differ_in_one_column(spark, monkeypatch):
+    from buywave.llm import common
+
+    monkeypatch.setattr(common, "COPIES_AT_ONCE", 1)
+    schema = "doc_id bigint, text string, lang string, source string, tags map<string, string>"
+    rows = [(1, "a b c", "en", "x", {"k": "v"}), (1, "a b c", "de", "x", {"k": "v"}), (1, "a b c", "de", "x", {"k": "w"}), (1, "a b c", None, "x", None)]
+    rows += [(1, "a b c", "x", "x", None), rows[0]]
+    docs = spark.createDataFrame(rows, schema)
+    as_rows = lambda found: sorted(repr(tuple(r)[:5]) for r in found)
+    assert as_rows(sharding.sharded_documents(docs, shards=2).collect()) == as_rows(docs.collect())
+    mixed = Counter(as_rows(mixing.mixed_documents(docs, weights=(1.0,)).collect()))
+    assert mixed == Counter(as_rows(docs.collect()))
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 
@@ -519,6 +565,14 @@ def test_quality_awkward(spark):
     assert quality.good_documents(docs, labels).columns == docs.columns
 
 
+def test_quality_sample_has_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text number {k % 50}") for k in range(500)] + [(2, "other"), (3, "a\n" * 200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    sample = [r for r in quality.training_lines(docs, labels, 3, 80).collect()]
+    assert sorted(r.id for r in sample) == [d for d in (1, 2) if zlib.crc32(str(d).encode()) % 4 != 2]
+    assert sample == quality.training_lines(docs.repartition(7), labels, 3, 80).orderBy(F.col("id")).collect() or len(sample) < 2
+
+
 # --- the pipeline -----------------------------------------------------------------------------
 
 
