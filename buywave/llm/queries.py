@@ -9,7 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buywave.llm import chat, decontamination, html, licenses, mixing, quality, sharding, simhash, tokens, topk
+from buywave.llm import (
+    centroids,
+    chat,
+    decontamination,
+    fingerprint,
+    html,
+    licenses,
+    mixing,
+    phrases,
+    quality,
+    sharding,
+    simhash,
+    tokens,
+    topk,
+)
 from buywave.llm.common import ship
 
 QUERIES = {}
@@ -245,3 +259,94 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql() -> str:
+    """Rounds of assignment and exact floored means, one common table each."""
+    k, width = centroids.CENTROIDS, centroids.WIDTH
+
+    def nearest(n: int) -> str:
+        return f"""near{n} AS (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v,
+    min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster := cluster)) AS best
+  FROM kept, centroids{n} GROUP BY rid)"""
+
+    def moved(n: int) -> str:
+        return f"""sums{n} AS (
+  SELECT cluster, list(total ORDER BY place) AS c FROM (
+    SELECT cluster, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS total
+    FROM (SELECT best.cluster AS cluster, unnest(v) AS x, unnest(range({width})) AS place FROM near{n}) GROUP BY cluster, place)
+  GROUP BY cluster),
+centroids{n + 1} AS (SELECT cluster, coalesce(s.c, old.c) AS c FROM centroids{n} old LEFT JOIN sums{n} s USING (cluster))"""
+
+    rounds = ",\n".join(f"{nearest(n)},\n{moved(n)}" for n in range(centroids.ROUNDS))
+    last = centroids.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS (
+  SELECT CAST(place - 1 AS INTEGER) AS cluster, v AS c FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), v) AS place FROM kept)
+  WHERE place <= {k}),
+{rounds},
+{nearest(last)},
+found AS (SELECT vec_id, best.cluster AS cluster, CAST(best.d AS BIGINT) AS distance FROM near{last}),
+inertias AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM found GROUP BY cluster)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM found) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM found JOIN inertias USING (cluster) JOIN centroids{last} USING (cluster)
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+  FROM listed, (VALUES (1), (2), (3)) lengths(words) WHERE len(w) >= words),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE words > 1 AND a >= {phrases.MIN_COUNT}),
+around AS (
+  SELECT lang, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2],
+                       string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS phrase, a AS longer
+  FROM candidates WHERE words = 3),
+covering AS (SELECT lang, phrase, max(longer) AS longer FROM around GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN covering USING (lang, phrase)
+  WHERE words = 3 OR longer IS NULL OR 100 * longer < {phrases.COVERED} * a),
+cuts AS (
+  SELECT *, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r,
+    CAST((CAST({phrases.SCALE} AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM best JOIN totals USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY rank <= {phrases.TOP}
+"""
