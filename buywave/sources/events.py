@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -78,10 +81,11 @@ def load_events(
     schema: StructType | None = None,
     start: dt.date | None = None,
     end: dt.date | None = None,
+    dates: Sequence[dt.date] | None = None,
 ) -> DataFrame:
     """Normalised events of all Parquet parts below ``path``, from ``start`` to ``end`` (whole days) if given.
 
-    The days bound ``ts``, so row groups of other days are skipped, and prune the folders of a table that
+    With ``dates`` only the events of those days. The days bound ``ts``, so row groups of other days are skipped, and prune the folders of a table that
     is partitioned by ``date``.
 
     Strict loading fails on a corrupt part; otherwise corrupt parts are skipped. No parts at
@@ -99,7 +103,7 @@ def load_events(
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError(f"no Parquet parts in {path}") from error
         raise
-    return normalize_loaded(_within(parts, start, end))
+    return normalize_loaded(_on(_within(parts, start, end), dates))
 
 
 def _within(parts: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
@@ -119,3 +123,49 @@ def _within(parts: DataFrame, start: dt.date | None, end: dt.date | None) -> Dat
         if end is not None:
             parts = parts.filter(F.col("date") <= F.lit(end))
     return parts
+
+
+def _on(parts: DataFrame, dates: Sequence[dt.date] | None) -> DataFrame:
+    """Rows of the given days: a range of ``ts`` for every run of days, and the folders of a table by date."""
+    if dates is None:
+        return parts
+    runs: list[list[dt.date]] = []
+    for day in sorted(set(dates)):
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    kinds = dict(parts.dtypes)
+    if kinds["ts"].startswith("timestamp"):
+        after = [(F.lit(a).cast(kinds["ts"]), F.lit(b + dt.timedelta(days=1)).cast(kinds["ts"])) for a, b in runs]
+        within = [(F.col("ts") >= a) & (F.col("ts") < b) for a, b in after]
+    else:
+        within = [F.to_date(F.try_to_timestamp("ts")).between(F.lit(a), F.lit(b)) for a, b in runs]
+    parts = parts.filter(functools.reduce(operator.or_, within, F.lit(False)))
+    return parts.filter(F.col("date").isin(list(dates))) if kinds.get("date") == "date" else parts
+
+
+def changed_dates(
+    spark: SparkSession, path: str, mark: str | None, seen: Sequence[str] = (), pattern: str = PART_PATTERN
+) -> tuple[list[dt.date], str | None, list[str]]:
+    """(dates, mark, files): the dates that have events in files written since ``mark``, the newest file time, and the
+    files of just that time.
+
+    ``seen`` are the files of the time ``mark`` that were read already. Older files are left out by their times when
+    the files are listed. The dates are at most one for each calendar day.
+    """
+    time, name = F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")
+    parts = spark.read.option("pathGlobFilter", pattern).parquet(path)
+    kind = dict(parts.dtypes)["ts"]
+    day = F.to_date("ts" if kind.startswith("timestamp") else F.try_to_timestamp("ts"))
+    named = parts.select(time.alias("time"), name.alias("name"), day.alias("date"))
+    if mark is not None:
+        named = named.filter(F.col("time") >= F.lit(mark).cast("timestamp"))
+        named = named.filter((F.col("time") > F.lit(mark).cast("timestamp")) | ~F.col("name").isin(list(seen)))
+    days = named.groupBy("date").agg(F.max("time").alias("time")).collect()
+    if not days:
+        return [], mark, list(seen)
+    new_mark = spark.range(1).select(F.lit(max(r["time"] for r in days)).cast("string")).first()[0]
+    at_mark = named.filter(F.col("time") == F.lit(new_mark).cast("timestamp")).select("name").distinct().collect()
+    files = {r["name"] for r in at_mark} | (set(seen) if new_mark == mark else set())
+    return sorted(r["date"] for r in days if r["date"] is not None), new_mark, sorted(files)
