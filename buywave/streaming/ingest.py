@@ -6,6 +6,8 @@ checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,8 @@ MESSAGE_SCHEMA = (
     "event_id string, event_type string, timestamp string, session_id string, "
     "user_id string, region string, properties string, _corrupt string"
 )
+#: The fields that are read out of a message's properties.
+DETAIL_SCHEMA = "item_id string, price string"
 BATCH_SECONDS = 0.5
 ROWS_PER_BATCH = 500_000
 
@@ -57,22 +61,19 @@ def file_source(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Add ``event`` (parsed fields) and ``readable`` to rows with a JSON text ``value``.
+    """Add ``event`` (parsed fields), ``details`` (item and price out of the properties) and ``readable`` to rows
+    with a JSON text ``value``.
 
     Readable means: a JSON object whose ``properties``, if given, is an object.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    # The one-element explode keeps later filters above the parse, so that each message is
-    # parsed once and not again for every condition.
+    # The one-element explodes keep later filters above the parse, so that each message, and its properties,
+    # is parsed once and not again for every condition.
     event = F.from_json("value", MESSAGE_SCHEMA, options)
     parsed = messages.select("*", F.explode(F.array(event)).alias("event"))
-    properties = F.col("event.properties")
-    given = F.get_json_object("value", "$.properties")
-    readable = (
-        F.col("event").isNotNull()
-        & F.col("event._corrupt").isNull()
-        & F.coalesce(F.startswith(F.ltrim(properties), F.lit("{")), given.isNull())
-    )
+    parsed = parsed.select("*", F.explode(F.array(F.from_json("event.properties", DETAIL_SCHEMA))).alias("details"))
+    is_object = F.startswith(F.ltrim(F.col("event.properties")), F.lit("{"))
+    readable = F.col("event").isNotNull() & F.col("event._corrupt").isNull() & F.coalesce(is_object, F.lit(True))
     return parsed.withColumn("readable", F.coalesce(readable, F.lit(False)))
 
 
@@ -111,8 +112,8 @@ def parse_time(text: Column, otherwise: Column) -> Column:
     return F.coalesce(F.date_trunc("millisecond", F.try_to_timestamp(iso)), otherwise)
 
 
-def normalize_events(parsed: DataFrame) -> DataFrame:
-    """The nine event columns from parsed messages with an ``ingest_ts`` column."""
+def normalize_events(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The nine event columns from parsed messages with an ``ingest_ts`` column, and the columns ``keep``."""
     event = {c: F.coalesce(F.col(f"event.{c}"), F.lit("")) for c in REQUIRED_MESSAGE_FIELDS}
     properties = F.coalesce(F.col("event.properties"), F.lit("{}"))
     return parsed.select(
@@ -122,16 +123,13 @@ def normalize_events(parsed: DataFrame) -> DataFrame:
         event["session_id"].alias("session_id"),
         event["user_id"].alias("user_id"),
         event["region"].alias("region"),
-        item_id(properties).alias("item_id"),
-        price(properties).alias("price"),
+        F.coalesce("details.item_id", F.lit("")).alias("item_id"),
+        number(F.col("details.price")).alias("price"),
         properties.alias("properties"),
+        *keep,
     )
 
 
-def item_id(properties: Column) -> Column:
-    return F.coalesce(F.get_json_object(properties, "$.item_id"), F.lit(""))
-
-
 def price(properties: Column) -> Column:
     """Numeric price, null when absent or unreadable."""
     return number(F.get_json_object(properties, "$.price"))
