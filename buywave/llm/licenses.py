@@ -47,7 +47,7 @@ TEMPLATES = [
 ]
 
 _AS_PUBLISHED = "License as published by the Free Software Foundation, either version"
-#: Titles of long licence texts and the usual notices, looked for in windows besides the templates.
+# Fixed values too: titles of long licence texts and the usual notices, looked for in windows besides the templates.
 NOTICES = [
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
@@ -144,9 +144,12 @@ def mentions_license(text: Column) -> Column:
     return found
 
 
-def _terms(spark: SparkSession, templates: list, names: dict[str, str]) -> tuple[DataFrame, DataFrame, float]:
-    """The terms' idf, the templates' postings, and the idf of other terms. Both tables are as large
-    as the templates, which are code. ``named`` marks the words of ``needs`` that a passage must hold."""
+def postings(templates: list, names: dict[str, str]) -> tuple[list[tuple], float]:
+    """Rows (template, license, term, idf, weight, length, named, needs), and the idf of other terms.
+
+    ``length`` is the template's number of words; ``named`` marks the words of its licence's name, of which a passage
+    must hold all ``needs``.
+    """
     rows, other = template_terms(templates)
     words: dict[int, set[str]] = {}
     for k, _, t, _, _ in rows:
@@ -154,12 +157,19 @@ def _terms(spark: SparkSession, templates: list, names: dict[str, str]) -> tuple
     need = {k: set(names.get(templates[k][0], "").split()) for k in words}
     need = {k: x if x <= words[k] else set() for k, x in need.items()}
     length = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
-    idf = spark.createDataFrame(sorted({(t, i) for _, _, t, i, _ in rows}), "term string, idf double")
-    postings = spark.createDataFrame(
-        [(k, name, t, w, length[k], int(t in need[k]), len(need[k])) for k, name, t, _, w in rows],
+    return [(k, name, t, i, w, length[k], int(t in need[k]), len(need[k])) for k, name, t, i, w in rows], other
+
+
+def _terms(spark: SparkSession, templates: list, names: dict[str, str]) -> tuple[DataFrame, DataFrame, float]:
+    """The terms' idf, the templates' postings, and the idf of other terms. Both tables are as large
+    as the templates, which are code."""
+    rows, other = postings(templates, names)
+    idf = spark.createDataFrame(sorted({(r[2], r[3]) for r in rows}), "term string, idf double")
+    table = spark.createDataFrame(
+        [(k, name, t, *rest) for k, name, t, _, *rest in rows],
         "template int, license string, term string, weight double, length int, named int, needs int",
     )
-    return F.broadcast(idf), F.broadcast(postings), other
+    return F.broadcast(idf), F.broadcast(table), other
 
 
 def _words(text: str) -> Column:
@@ -175,12 +185,12 @@ def match_templates(
     below the threshold give no row. Grouping is by part, so a key with many parts is no hot key.
     With ``names`` a part must also hold the names of the template's licence.
     """
-    idf, postings, other = _terms(passages.sparkSession, templates, names or {})
+    idf, posted, other = _terms(passages.sparkSession, templates, names or {})
     counts = passages.select("key", "part", F.explode(_words("text")).alias("term")).groupBy("key", "part", "term").agg(F.count("*").alias("tf"))
     weighed = counts.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     # The length of the vector needs all terms, the products only those of templates.
     spread = (
-        weighed.join(postings, "term", "left")
+        weighed.join(posted, "term", "left")
         .groupBy("key", "part", "template", "license")
         .agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), (F.sum("named") >= F.max("needs")).alias("is_named"))
     )
@@ -198,6 +208,11 @@ def match_templates(
     )
 
 
+def common_weight(templates: list) -> float:
+    """The squared idf of the most common term."""
+    return min(i for _, _, _, i, _ in template_terms(templates)[0]) ** 2
+
+
 def windows(passages: DataFrame, templates: list, threshold: float = THRESHOLD) -> DataFrame:
     """(key, part, text): the windows of ``passages`` that may reach the threshold.
 
@@ -205,13 +220,13 @@ def windows(passages: DataFrame, templates: list, threshold: float = THRESHOLD)
     out only if no cosine of its own template can reach the threshold: the length of its vector is
     at least that of its words taken as all different, unknown ones as the most common term.
     """
-    idf, postings, _ = _terms(passages.sparkSession, templates, {})
-    common = min(i for _, _, _, i, _ in template_terms(templates)[0]) ** 2
+    idf, posted, _ = _terms(passages.sparkSession, templates, {})
+    common = common_weight(templates)
     words = passages.select("key", "part", _words("text").alias("words"))
     hits = (
         words.select("key", "part", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
         .join(idf, "term")
-        .join(postings, "term")
+        .join(posted, "term")
         .filter("n >= length")
         .groupBy("key", "part", "template", "length", "n")
         .agg(F.sort_array(F.collect_list(F.struct("at", (F.col("idf") * F.col("weight")).alias("x"), (F.col("idf") * F.col("idf")).alias("y")))).alias("h"))
@@ -233,11 +248,15 @@ def windows(passages: DataFrame, templates: list, threshold: float = THRESHOLD)
     )
 
 
+SPDX_ONE = r"[a-z0-9.+-]+"
+SPDX_LINE = rf"spdx-license-identifier:\s*\(*({SPDX_ONE}(?:\)*\s+(?:or|and|with)\s+\(*{SPDX_ONE})*)"
+SPDX_ENDING = r"(-only|-or-later|\+)$"
+
+
 def spdx_license(text: str, names: list[str]) -> Column:
     """The first of ``names`` in the SPDX expression of a line, else null. Identifiers are compared whole."""
-    one = r"[a-z0-9.+-]+"
-    expression = F.regexp_extract(F.lower(text), rf"spdx-license-identifier:\s*\(*({one}(?:\)*\s+(?:or|and|with)\s+\(*{one})*)", 1)
-    said = F.transform(F.split(expression, r"[\s()]+"), lambda x: F.regexp_replace(x, r"(-only|-or-later|\+)$", ""))
+    expression = F.regexp_extract(F.lower(text), SPDX_LINE, 1)
+    said = F.transform(F.split(expression, r"[\s()]+"), lambda x: F.regexp_replace(x, SPDX_ENDING, ""))
     known = F.create_map(*[F.lit(x) for name in sorted(set(names)) for x in (name.lower(), name)])
     return F.get(F.filter(F.transform(said, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), F.lit(0))
 
@@ -261,9 +280,11 @@ def _own_licenses(files: DataFrame, is_file: Column, templates: list, threshold:
     body = whole_text("text")
     lines = F.filter(F.split(body, "\n"), lambda x: mentions_license(x))
     # Part 0 is the body of a licence file; only this table is read below, not the files' texts.
+    # Rows of one key are alike and are read once.
+    mentioned = files.filter(F.col("key").isNotNull() & mentions_license(body)).select("key", is_file.alias("is_file"), "text")
     candidates = materialize(
-        files.filter(F.col("key").isNotNull() & mentions_license(body))
-        .select("key", is_file.alias("is_file"), F.posexplode(F.concat(F.array(F.when(is_file, body)), lines)).alias("part", "text"))
+        mentioned.dropDuplicates(["key"])
+        .select("key", "is_file", F.posexplode(F.concat(F.array(F.when(F.col("is_file"), body)), lines)).alias("part", "text"))
         .filter(F.col("text").isNotNull()),
         "license-lines",
     )
@@ -284,12 +305,20 @@ def _own_licenses(files: DataFrame, is_file: Column, templates: list, threshold:
     return every.groupBy("key").agg(best.alias("best")).select("key", "best.license", "best.similarity")
 
 
-def scan_licenses(files: DataFrame, templates: list = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, path, license, similarity, found_in and license_dir of every row of ``files`` (key, path, text).
+def content_key(path: str = "path", text: str = "text") -> Column:
+    """A key for ``scan_licenses`` that only rows of equal path and text share; never null."""
+    whole = [F.array(F.col(path).isNull(), F.col(text).isNull()), F.col(path), F.col(text)]
+    return F.concat(F.hex(F.xxhash64(*whole)), F.hex(F.xxhash64(*reversed(whole))))
+
+
+def scan_licenses(
+    files: DataFrame, templates: list = TEMPLATES, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, path, ``keep``, license, similarity, found_in and license_dir of every row of ``files`` (key, path, text).
 
-    ``key`` tells rows apart. ``found_in`` is ``header`` or ``file`` for the file's own licence, ``directory``
+    Rows of one key must agree in path and text (see ``content_key``); all of them come back. ``found_in`` is ``header`` or ``file`` for the file's own licence, ``directory``
     for an inherited one, else null. Whole texts are scanned. Null and empty texts have no licence of
-    their own, rows with a null path or key inherit none. If a directory has several licence files
+    their own; rows with a null key have none either but inherit, and rows with a null path inherit none. If a directory has several licence files
     the most similar counts, ties by name. Inheritance is worked out once per directory, so files
     of one huge directory cost one lookup row each and no group.
     """
@@ -297,12 +326,13 @@ def scan_licenses(files: DataFrame, templates: list = TEMPLATES, threshold: floa
     name = F.regexp_extract(path, "[^/]*$", 0)
     is_file = F.coalesce(name.rlike(LICENSE_FILE), F.lit(False))
     own = materialize(_own_licenses(files, is_file, templates, threshold), "own-licenses")
-    listed = files.select("key", "path", is_file.alias("is_file"))
+    listed = files.select("key", "path", *keep, is_file.alias("is_file"))
     marked = listed.join(own, "key", "left")
     # Only licence files with a licence matter here, and directories are told apart before the join.
     # A table of its own: the join below can then split the root, an ancestor of every directory.
     granted = materialize(
-        listed.filter("is_file and path is not null")
+        listed.select("key", "path", "is_file")
+        .filter("is_file and path is not null")
         .join(own, "key")
         .groupBy(directory_of(path).alias("ancestor"))
         .agg(F.max(F.struct("similarity", "license")).alias("grant")),
@@ -321,6 +351,7 @@ def scan_licenses(files: DataFrame, templates: list = TEMPLATES, threshold: floa
     return joined.select(
         "key",
         "path",
+        *keep,
         F.coalesce("license", "grant.license").alias("license"),
         F.coalesce("similarity", "grant.similarity").alias("similarity"),
         F.when(has_own & F.col("is_file"), "file").when(has_own, "header").when(F.col("grant").isNotNull(), "directory").alias("found_in"),

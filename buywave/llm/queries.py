@@ -181,70 +181,123 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_of(documents: DataFrame) -> DataFrame:
     """Documents as files: /source/lang/folder/name, 64 ids to a folder. The first of a folder is its
-    LICENSE, the first of every 4096 that of the source."""
+    LICENSE, the first of every 4096 that of the source. A null id, source or language gives a null path."""
     number = F.col("doc_id")
-    folder = F.concat_ws("/", "source", "lang", (F.floor(number / 64)).cast("string"))
+    slash = F.lit("/")
+    folder = F.concat("source", slash, "lang", slash, F.floor(number / 64).cast("string"))
     path = (
-        F.when(number % 4096 == 0, F.concat_ws("/", "source", F.lit("LICENSE")))
-        .when(number % 64 == 0, F.concat_ws("/", folder, F.lit("LICENSE")))
-        .otherwise(F.concat_ws("/", folder, F.concat(number.cast("string"), F.lit(".txt"))))
+        F.when(number % 4096 == 0, F.concat("source", F.lit("/LICENSE")))
+        .when(number % 64 == 0, F.concat(folder, F.lit("/LICENSE")))
+        .otherwise(F.concat(folder, slash, number.cast("string"), F.lit(".txt")))
     )
-    return documents.select(number.alias("key"), path.alias("path"), "text")
+    named = documents.select(number, path.alias("path"), "text")
+    return named.withColumn("key", licenses.content_key())
 
 
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(files_of(table(spark, sf_dir, "documents")))
-    return found.withColumnRenamed("key", "doc_id")
+    files = files_of(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(files, keep=("doc_id",)).drop("key")
 
 
 def _license_sql() -> str:
-    terms, other = licenses.template_terms(licenses.TEMPLATES)
-    values = ", ".join(f"({k}, '{name}', '{t}', CAST({i!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for k, name, t, i, w in terms)
+    """The whole scan: lines, bodies, windows with their bound, SPDX identifiers, full texts, inheritance."""
+    wanted = licenses.TEMPLATES + licenses.NOTICES
+    lists = {"plain": (licenses.TEMPLATES, {}), "named": (wanted, licenses.NAMES), "entire": (licenses.FULL_TEXTS, {})}
+    tables, others = [], {}
+    for name, (templates, names) in lists.items():
+        rows, others[name] = licenses.postings(templates, names)
+        values = ", ".join(
+            f"({k}, '{title}', '{t}', CAST({i!r} AS DOUBLE), CAST({w!r} AS DOUBLE), {length}, {said}, {needs})"
+            for k, title, t, i, w, length, said, needs in rows
+        )
+        tables.append(f"{name}_postings(template, license, term, idf, weight, length, named, needs) AS (VALUES {values})")
     mentions = " OR ".join(f"contains(lower({{0}}), '{w}')" for w in licenses.LICENSE_WORDS)
+    known = ", ".join(f"('{x.lower()}', '{x}')" for x in sorted({x for x, _ in licenses.TEMPLATES}))
+    terms = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+    def matched(found: str, passages: str, name: str) -> str:
+        """The best template of each row: a part is any value that tells its passages apart."""
+        return f"""{found}_counts AS (
+  SELECT rid, part, term, count(*) AS tf FROM (SELECT rid, part, unnest({terms.format("text")}) AS term FROM {passages}) GROUP BY ALL),
+{found}_weighed AS (
+  SELECT c.*, tf * coalesce(i.idf, {others[name]!r}) AS w
+  FROM {found}_counts c LEFT JOIN (SELECT DISTINCT term, idf FROM {name}_postings) i USING (term)),
+{found}_norms AS (SELECT rid, part, sqrt(sum(w * w)) AS norm FROM {found}_weighed GROUP BY ALL),
+{found}_dots AS (
+  SELECT rid, part, template, license, sum(w * weight) AS dot FROM {found}_weighed JOIN {name}_postings USING (term)
+  GROUP BY ALL HAVING sum(named) >= max(needs)),
+{found} AS (
+  SELECT rid, license, similarity, template FROM (
+    SELECT rid, template, license, round(dot / norm, 6) AS similarity FROM {found}_dots JOIN {found}_norms USING (rid, part))
+  WHERE similarity >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, template) = 1)"""
+
     return rf"""
-WITH postings(template, license, term, idf, weight) AS (VALUES {values}),
+WITH {", ".join(tables)},
+known(said, name) AS (VALUES {known}),
 files AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
     CASE WHEN doc_id % 4096 = 0 THEN source || '/LICENSE'
          WHEN doc_id % 64 = 0 THEN source || '/' || lang || '/' || (doc_id // 64) || '/LICENSE'
          ELSE source || '/' || lang || '/' || (doc_id // 64) || '/' || doc_id || '.txt' END AS path
   FROM documents),
 listed AS (
-  SELECT doc_id, text, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, doc_id % 64 = 0 AS is_file FROM files),
+  SELECT rid, doc_id, text, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+    coalesce(regexp_matches(path, '(^|/)LICENSE$'), false) AS is_file FROM files),
 parts AS (
-  SELECT doc_id, 0 AS part, text FROM listed WHERE is_file AND ({mentions.format("text")})
+  SELECT rid, 0 AS part, text, is_file FROM listed WHERE is_file AND ({mentions.format("text")})
   UNION ALL
-  SELECT doc_id, part, line FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS part
-    FROM listed WHERE NOT is_file) WHERE {mentions.format("line")}),
-counts AS (
-  SELECT doc_id, part, term, count(*) AS tf FROM (
-    SELECT doc_id, part, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM parts)
-  WHERE term <> '' GROUP BY ALL),
-weighed AS (
-  SELECT c.*, tf * coalesce(i.idf, {other!r}) AS w
-  FROM counts c LEFT JOIN (SELECT DISTINCT term, idf FROM postings) i USING (term)),
-norms AS (SELECT doc_id, part, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-dots AS (
-  SELECT doc_id, part, template, license, sum(w * weight) AS dot FROM weighed JOIN postings USING (term) GROUP BY ALL),
+  SELECT rid, part, line, is_file FROM (
+    SELECT rid, is_file, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS part
+    FROM listed) WHERE {mentions.format("line")}),
+runs AS (SELECT rid, part, {terms.format("text")} AS words FROM parts WHERE is_file = (part = 0)),
+places AS (SELECT rid, part, len(words) AS n, unnest(words) AS term, unnest(range(len(words))) AS pos FROM runs),
+hits AS (
+  SELECT rid, part, n, template, length, pos, idf * weight AS x, idf * idf AS y,
+    row_number() OVER (PARTITION BY rid, part, template ORDER BY pos) AS place, least(pos, n - length) AS start
+  FROM places JOIN named_postings USING (term) WHERE n >= length),
+likely AS (
+  SELECT DISTINCT rid, part, start, length FROM (
+    SELECT a.rid, a.part, a.template, a.place, a.start, a.length, sum(b.x) AS dot,
+      sum(b.y) + (a.length - count(*)) * {licenses.common_weight(wanted)!r} AS norm
+    FROM hits a JOIN hits b ON a.rid = b.rid AND a.part = b.part AND a.template = b.template
+      AND b.place >= a.place AND b.place < a.place + a.length AND b.pos < a.start + a.length
+    GROUP BY a.rid, a.part, a.template, a.place, a.start, a.length)
+  WHERE dot / sqrt(norm) >= {licenses.THRESHOLD} - 1e-6),
+cut AS (
+  SELECT rid, struct_pack(part := part, start := start, length := length) AS part,
+    array_to_string(words[start + 1:start + length], ' ') AS text
+  FROM likely JOIN runs USING (rid, part)),
+{matched("by_line", "parts", "plain")},
+{matched("by_window", "cut", "named")},
+bodies AS (SELECT rid, part, text FROM parts WHERE part = 0),
+{matched("by_text", "bodies", "entire")},
+said AS (
+  SELECT rid, part, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (
+    SELECT rid, part, string_split_regex(regexp_extract(lower(text), '{licenses.SPDX_LINE}', 1), '[\s()]+') AS words FROM parts)),
+by_name AS (
+  SELECT rid, arg_min(name, pos) AS license FROM said JOIN known ON regexp_replace(word, '{licenses.SPDX_ENDING}', '') = known.said
+  GROUP BY rid, part),
 own AS (
-  SELECT doc_id, license, similarity FROM (
-    SELECT doc_id, template, license, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (doc_id, part))
-  WHERE similarity >= {licenses.THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, template) = 1),
+  SELECT rid, license, similarity FROM (
+    SELECT rid, license, similarity, template, 0 AS rank FROM by_line
+    UNION ALL SELECT rid, license, similarity, template, 0 FROM by_window
+    UNION ALL SELECT rid, license, 1.0, {len(wanted)}, 0 FROM by_name
+    UNION ALL SELECT rid, license, similarity, template, 1 FROM by_text)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY rank DESC, similarity DESC, template, license DESC) = 1),
 granted AS (
-  SELECT dir, max(struct_pack(similarity := similarity, license := license)) AS grant_ FROM listed JOIN own USING (doc_id)
+  SELECT dir, max(struct_pack(similarity := similarity, license := license)) AS grant_ FROM listed JOIN own USING (rid)
   WHERE is_file GROUP BY dir),
 inherited AS (
-  SELECT d.dir, g.dir AS grant_dir, g.grant_ FROM (SELECT DISTINCT dir FROM listed) d
+  SELECT d.dir, g.dir AS grant_dir, g.grant_ FROM (SELECT DISTINCT dir FROM listed WHERE path IS NOT NULL) d
   JOIN granted g ON d.dir = g.dir OR starts_with(d.dir, g.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(g.dir) DESC) = 1)
-SELECT doc_id, path, coalesce(o.license, grant_.license) AS license, coalesce(o.similarity, grant_.similarity) AS similarity,
+SELECT doc_id, path, coalesce(o.license, grant_.license) AS license, CAST(coalesce(o.similarity, grant_.similarity) AS DOUBLE) AS similarity,
   CASE WHEN o.license IS NOT NULL AND is_file THEN 'file' WHEN o.license IS NOT NULL THEN 'header'
        WHEN grant_ IS NOT NULL THEN 'directory' END AS found_in,
   CASE WHEN o.license IS NULL THEN grant_dir END AS license_dir
-FROM listed LEFT JOIN own o USING (doc_id) LEFT JOIN inherited USING (dir)
+FROM listed LEFT JOIN own o USING (rid) LEFT JOIN inherited USING (dir)
 """
 
 
@@ -321,7 +374,8 @@ ORACLES["op13_phrase_collocations"] = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
 grams AS (
