@@ -27,6 +27,7 @@ def audience_segment() -> Column:
     predicted = _number("will_purchase_pred", 0)
     events7 = _number("events_last_7d", 0)
     idle = _number("days_since_last", 999)
+    # The limits are fixed values.
     return (
         F.when((p >= 0.7) & (idle <= 30), "hot")
         .when((p >= 0.3) & ((events7 >= 3) | (idle <= 14)), "warm")
@@ -66,7 +67,9 @@ def segment_reason(segment: Column | str = "segment") -> Column:
             ),
         )
         .when(segment == "warm", F.concat(F.lit("Chance of purchase "), percent, F.lit("; recently active")))
-        .when(segment == "cold", F.concat(F.lit("Chance of purchase "), percent, F.lit("; weak signals")))
+        .when((segment == "cold") & (_number("purchase_proba", 0) >= 0.1), F.concat(F.lit("Chance of purchase "), percent, F.lit("; weak signals")))
+        # Below that limit a user is cold only if a purchase is predicted all the same.
+        .when(segment == "cold", F.concat(F.lit("Chance of purchase "), percent))
         .otherwise(F.concat(F.lit("Chance of purchase "), fine, F.lit("; very low")))
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +28,26 @@ def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
     return table.filter(F.col("split") == name).drop("split")
 
 
+#: Parquet settings for lookups of single users: a Bloom filter of the ids in every row group, as large as they need.
+LOOKUP = {
+    "parquet.bloom.filter.enabled#user_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
+
 def write_daily_snapshot(snapshot: DataFrame, path: str, run_date: dt.date) -> None:
-    """Write one run under its run date, replacing only that date's folder."""
+    """Write one run under its run date, replacing only that date's folder.
+
+    Users are sorted over the files, so that a lookup of one user finds its row group by the ids'
+    ranges, and a user that is not there mostly none at all by the Bloom filters.
+    """
+    if "user_id" in snapshot.columns:
+        snapshot = snapshot.repartitionByRange("user_id").sortWithinPartitions("user_id")
     (
         snapshot.withColumn("run_date", F.lit(run_date))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .options(**LOOKUP)
         .partitionBy("run_date")
         .parquet(path)
     )
@@ -46,13 +59,44 @@ def latest_rows(snapshots: DataFrame, run_column: str = "run_date") -> DataFrame
     return snapshots.filter(F.col(run_column) == newest)
 
 
+def run_dates(spark: SparkSession, path: str) -> list[dt.date]:
+    """The dates that runs are stored for, in order: one listing of the run folders, none of their files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(folder) if entry.isDirectory()]
+    return sorted(dt.date.fromisoformat(n.removeprefix("run_date=")) for n in names if n.startswith("run_date="))
+
+
+def read_run(spark: SparkSession, path: str, run_date: dt.date) -> DataFrame:
+    """The rows of one run; only its own folder is listed."""
+    stored = spark.read.option("basePath", path).parquet(f"{path}/run_date={run_date.isoformat()}")
+    return stored.filter(F.col("run_date") == F.lit(run_date))
+
+
 def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest daily snapshot; its run date is taken from the listed folder names."""
-    table = spark.read.parquet(path)
-    runs = {m.group(1) for m in (re.search(r"run_date=([^/]+)/", f) for f in table.inputFiles()) if m}
+    """The newest daily snapshot."""
+    runs = run_dates(spark, path)
     if not runs:
         raise FileNotFoundError(f"no daily snapshot in {path}")
-    return table.filter(F.col("run_date") == F.lit(max(runs)).cast("date"))
+    return read_run(spark, path, runs[-1])
+
+
+def publish_run(spark: SparkSession, table: str, path: str, run_date: dt.date) -> None:
+    """Enter one stored run into the catalog table ``table``, which is created over ``path`` if it is absent."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read_run(spark, path, run_date).schema)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (run_date) LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (run_date = DATE '{run_date.isoformat()}')")
+
+
+def latest_published(spark: SparkSession, table: str) -> DataFrame:
+    """The newest run of a catalog table, found in its partition metadata: no folder is listed."""
+    runs = [row[0].removeprefix("run_date=") for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    if not runs:
+        raise FileNotFoundError(f"no run in {table}")
+    return spark.table(table).filter(F.col("run_date") == F.lit(max(runs)).cast("date"))
 
 
 def write_metadata(spark: SparkSession, record: dict, path: str) -> None:

@@ -260,7 +260,7 @@ def audience_segment(spark, sf_dir):
         """SELECT user_id, CONCAT('Chance of purchase ', CASE segment
                   WHEN 'hot' THEN CONCAT(printf('%.0f%%', p * 100), '; last active ', CAST(idle AS VARCHAR), ' days ago; events in 7 days: ', CAST(e7 AS VARCHAR))
                   WHEN 'warm' THEN CONCAT(printf('%.0f%%', p * 100), '; recently active')
-                  WHEN 'cold' THEN CONCAT(printf('%.0f%%', p * 100), '; weak signals')
+                  WHEN 'cold' THEN CONCAT(printf('%.0f%%', p * 100), CASE WHEN p >= 0.1 THEN '; weak signals' ELSE '' END)
                   ELSE CONCAT(printf('%.1f%%', p * 100), '; very low') END) AS segment_reason FROM segments""",
     ),
 )

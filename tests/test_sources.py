@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buywave.operators import events as ev
+from buywave.operators.audience import user_record
 from buywave.sources import events as event_source
 from buywave.sources import snapshots as store
 from buywave.sources import trends as trend_source
@@ -112,3 +113,50 @@ def test_union_of_parts_with_gaps(spark):
     assert both.count() == 5 and both.filter(F.col("b").isNull()).count() == 2
     with pytest.raises(ValueError):
         ev.union_parts([])
+
+
+def rows_scanned(df):
+    """Rows that the scans of the plan gave, once it was run."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    plans = [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while plans:
+        node = plans.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children().iterator()
+        while children.hasNext():
+            plans.append(children.next())
+    return total
+
+
+def test_one_user_is_looked_up_in_one_row_group(spark, tmp_path, monkeypatch):
+    path, n = str(tmp_path / "daily"), 40_000
+    # Row groups as small as Parquet makes them.
+    monkeypatch.setattr(store, "LOOKUP", {**store.LOOKUP, "parquet.block.size": "20000", "parquet.page.size": "2000"})
+    users = spark.range(n).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("user_id"), "id")
+    store.write_daily_snapshot(users, path, dt.date(2024, 1, 1))
+    snapshot = store.read_latest_snapshot(spark, path)
+    found = user_record(snapshot, "u00012345")
+    assert [r["id"] for r in found.collect()] == [12345]
+    assert 0 < rows_scanned(found) <= n // 8
+    # Within the range of ids, but not there: the Bloom filters leave nothing to read.
+    assert rows_scanned(user_record(snapshot, "u00012345x")) == 0
+
+
+def test_runs_in_the_catalog(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    rows = spark.range(5).select(F.col("id").cast("string").alias("user_id"))
+    assert store.run_dates(spark, path) == []
+    with pytest.raises(FileNotFoundError):
+        store.read_latest_snapshot(spark, path)
+    for day, n in ((2, 3), (1, 5)):
+        store.write_daily_snapshot(rows.limit(n), path, dt.date(2024, 1, day))
+        store.publish_run(spark, "daily_runs", path, dt.date(2024, 1, day))
+    try:
+        assert [str(d) for d in store.run_dates(spark, path)] == ["2024-01-01", "2024-01-02"]
+        newest = store.latest_published(spark, "daily_runs")
+        assert newest.count() == store.read_latest_snapshot(spark, path).count() == 3
+        assert spark.table("daily_runs").count() == 8
+    finally:
+        spark.sql("DROP TABLE daily_runs")
