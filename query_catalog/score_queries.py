@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from buywave.functions import audience as rules
@@ -11,6 +13,7 @@ from buywave.models import purchase
 from buywave.operators import audience as ops
 from buywave.operators import calibration, metrics, prep
 from buywave.operators.events import fit_vocabulary
+from buywave.operators.ordering import running_totals_with_next
 from buywave.plans.audience import audience
 from buywave.plans.snapshots import daily_snapshot, training_snapshots
 from buywave.session import ensure_checkpoint_dir
@@ -549,44 +552,78 @@ def invalid_fields(spark, sf_dir):
 
 # --- models ----------------------------------------------------------------------------------------
 
-_models: dict = {}
+#: Boosting rounds of the ranked audience, whose checks hold for any model.
+FEW_ROUNDS = {"maxIter": 10}
 
 
-def _fitted(spark, sf_dir):
-    """Models of the default size on the training rows, which are materialised once, as a training
-    table would be; the vocabulary goes from training to scoring with the model. The hundreds of
-    boosting rounds are run once per application and table; both queries score with that model."""
+def _fitted(spark, sf_dir, **sizes):
+    """A model fitted on the training rows, which are materialised once, as a training table would be, and the
+    daily snapshot; the vocabulary goes from training to scoring with the model."""
     events = loaded(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _models:
-        return _models[key], daily_snapshot(events, vocabulary=_models[key].vocabulary)
     ensure_checkpoint_dir(spark)
     vocabulary = fit_vocabulary(events)
     rows = training_snapshots(events, vocabulary=vocabulary).checkpoint()
-    model = _models[key] = purchase.fit(rows, vocabulary=vocabulary)
+    model = purchase.fit(rows, vocabulary=vocabulary, **sizes)
     return model, daily_snapshot(events, vocabulary=model.vocabulary)
 
 
-# Fitted trees cannot be compared bit by bit: per user, SQL states what must hold for any fit.
+# Fitted trees cannot be compared bit by bit: per user, SQL states what must hold for any fit. The values
+# themselves are compared with a walk down the stored trees by joins.
 SCORED_USERS = """SELECT user_id, COUNT(*) AS total_events, TRUE AS probability_ok, TRUE AS class_ok,
                          TRUE AS days_ok, TRUE AS amount_ok{more} FROM fx_events GROUP BY user_id"""
 
 
-def _checks(model):
+def _walked(inputs, trees, folder, name):
+    """(user_id, ``name``): the weighted sum of the leaves that a user's inputs reach in the stored trees."""
+    spark = inputs.sparkSession
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    trees.write().save(path)
+    stored = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    nodes = F.broadcast(  # the trees of one model
+        stored.select(
+            "tree", F.col("id").alias("node"), "prediction", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+            F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("limit"),
+        )
+    )
+    at = inputs.select("user_id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees.getNumTrees - 1))).alias("tree"))
+    at = at.withColumn("node", F.lit(0))
+    child = F.when(F.get("x", F.col("feature")) <= F.col("limit"), F.col("left")).otherwise(F.col("right"))
+    for _ in range(trees.getOrDefault("maxDepth")):
+        down = F.when(F.col("left") < 0, F.col("node")).otherwise(child)
+        at = at.join(nodes, ["tree", "node"]).select("user_id", "x", "tree", down.alias("node"))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in trees.treeWeights]), F.col("tree"))
+    leaves = at.join(nodes, ["tree", "node"])
+    return leaves.groupBy("user_id").agg(F.sum(F.col("prediction") * weight).alias(name))
+
+
+def _checked(model, snapshot, scored):
+    """``scored`` with the checks of its predictions against the walk."""
+    spark = snapshot.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    prepared = purchase.assemble(model.preparation.transform(snapshot), model.preparation.inputs)
+    inputs = prepared.select("user_id", vector_to_array(purchase.INPUTS).alias("x")).checkpoint()
+    walked = _walked(inputs, model.classifier, folder, "raw")
+    for name in ("days", "amount"):
+        walked = walked.join(_walked(inputs, getattr(model, name), folder, name), "user_id")
     p = F.col("purchase_proba")
-    return {
-        "probability_ok": (p >= 0) & (p <= 1),
+
+    def same(column, value):
+        return F.abs(F.col(column) - value) < 1e-9
+
+    checks = {
+        "probability_ok": same("purchase_proba", 1 / (1 + F.exp(-2 * F.col("raw")))),
         "class_ok": F.col("will_purchase_pred") == (p >= F.lit(model.threshold)).cast("int"),
-        "days_ok": F.col("days_to_next_pred").between(0.1, 30.0),
-        "amount_ok": F.col("next_purchase_amount_pred") >= 10.0,
+        "days_ok": same("days_to_next_pred", F.least(F.greatest("days", F.lit(0.1)), F.lit(30.0))),
+        "amount_ok": same("next_purchase_amount_pred", F.greatest("amount", F.lit(10.0))),
     }
+    return scored.join(walked, "user_id").withColumns(checks), list(checks)
 
 
 @query("score_users", with_views(EVENTS_SQL, SCORED_USERS.format(more="")))
 def score_users(spark, sf_dir):
+    """The default model: 200 and 150 boosting rounds."""
     model, snapshot = _fitted(spark, sf_dir)
-    checks = _checks(model)
-    scored = model.score(snapshot).withColumns(checks)
+    scored, checks = _checked(model, snapshot, model.score(snapshot))
     return scored.select("user_id", "total_events", *checks)
 
 
@@ -595,23 +632,20 @@ def score_users(spark, sf_dir):
     with_views(EVENTS_SQL, SCORED_USERS.format(more=", TRUE AS rank_ok, TRUE AS segment_ok")),
 )
 def ranked_audience(spark, sf_dir):
-    """The ranked rows in their order: probabilities must not rise, segments follow the rule."""
-    model, snapshot = _fitted(spark, sf_dir)
-    checks = _checks(model)
-    ranked = audience(snapshot, model).withColumn("_at", F.monotonically_increasing_id())
-    # The order is checked inside the ranges that the ranking was made in.
-    ranked = ranked.withColumn("_range", F.spark_partition_id())
-    before = F.lag("purchase_proba").over(Window.partitionBy("_range").orderBy("_at"))
+    """The ranked rows in their order over all ranges: probabilities must not rise, segments follow the rule."""
+    model, snapshot = _fitted(spark, sf_dir, classifier=FEW_ROUNDS, regressor=FEW_ROUNDS)
+    # Numbers in the ranked order: partitions of a sort follow each other.
+    ranked = audience(snapshot, model).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    lined = ranked.select("at", "purchase_proba", F.lit(1).cast("bigint").alias("one"))
+    before = running_totals_with_next(lined, "at", {"place": "one"}, {"before": "purchase_proba"}).select("at", "before")
     again = F.expr(
         """CASE WHEN purchase_proba >= 0.7 AND days_since_last <= 30 THEN 'hot'
                 WHEN purchase_proba >= 0.3 AND (events_last_7d >= 3 OR days_since_last <= 14) THEN 'warm'
                 WHEN purchase_proba < 0.1 AND will_purchase_pred = 0 THEN 'ignore' ELSE 'cold' END"""
     )
-    checked = ranked.withColumns(
-        {
-            **checks,
-            "rank_ok": before.isNull() | (before >= F.col("purchase_proba")),
-            "segment_ok": F.col("segment") == again,
-        }
-    )
-    return checked.select("user_id", "total_events", *checks, "rank_ok", "segment_ok")
+    scored, checks = _checked(model, snapshot, ranked.join(before, "at"))
+    more = {
+        "rank_ok": F.col("before").isNull() | (F.col("before") >= F.col("purchase_proba")),
+        "segment_ok": F.col("segment") == again,
+    }
+    return scored.withColumns(more).select("user_id", "total_events", *checks, *more)
