@@ -47,6 +47,64 @@ def read_facts(spark: SparkSession, path: str, end: dt.date | None = None) -> tu
     return tables[0], tables[1]
 
 
+# --- tables laid out by user --------------------------------------------------------------------
+
+#: Columns of the catalog tables; ``date`` is the partition column.
+FACT_TABLES = {
+    "user_days": "user_id string, recent_types array<string>, region string, item_id string, events bigint, clicks bigint, "
+    "purchases bigint, spent double, first_price double",
+    "user_items": "user_id string, item_id string",
+}
+
+
+def ensure_fact_tables(spark: SparkSession, prefix: str, location: str, buckets: int) -> None:
+    """Create the catalog tables ``<prefix>_user_days`` and ``<prefix>_user_items`` below ``location`` if they are absent.
+
+    They are partitioned by date and bucketed and sorted by user, so the windows and joins of the snapshot builds
+    by user run where the rows lie. ``buckets`` is then the number of tasks: choose it for the whole history.
+    """
+    for name, columns in FACT_TABLES.items():
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {prefix}_{name} ({columns}, date date) USING parquet PARTITIONED BY (date) "
+            f"CLUSTERED BY (user_id) SORTED BY (user_id) INTO {buckets} BUCKETS LOCATION '{location}/{name}'"
+        )
+
+
+def write_fact_tables(events: DataFrame, prefix: str, buckets: int) -> None:
+    """As ``write_facts``, into the catalog tables: a date has one file for each bucket."""
+    spark = events.sparkSession
+    made = {"user_days": facts.user_day_facts(events), "user_items": facts.user_item_days(events)}
+    setting = "spark.sql.sources.partitionOverwriteMode"  # catalog tables take it from the session only
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        _insert(made, prefix, buckets)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _insert(made: dict[str, DataFrame], prefix: str, buckets: int) -> None:
+    for name, rows in made.items():
+        kinds = [c.strip().split(" ", 1) for c in f"{FACT_TABLES[name]}, date date".split(",")]
+        columns = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds]
+        rows.select(*columns).repartition(buckets, "user_id").write.insertInto(f"{prefix}_{name}", overwrite=True)
+
+
+def read_fact_tables(spark: SparkSession, prefix: str, end: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """(user days, user items) of the catalog tables, up to ``end`` if given.
+
+    The session is told that rows dealt by user need not be dealt again to be joined by user and day.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    tables = [spark.table(f"{prefix}_{name}") for name in FACT_TABLES]
+    if end is not None:
+        tables = [t.filter(F.col("date") <= F.lit(end)) for t in tables]
+    return tables[0], tables[1]
+
+
+# --- what is rolled from the facts --------------------------------------------------------------
+
+
 def known_items(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, item_id, date) with the first date of every item of a user."""
     try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from buywave.operators import facts
 from buywave.operators import history as hist
 from buywave.operators import splits
 from buywave.operators.trends import join_trends
+from buywave.plans.daily import daily_run
 from buywave.plans.snapshots import daily_from_facts, daily_snapshot, training_from_facts, training_snapshots
+from buywave.session import ensure_checkpoint_dir
 from buywave.sources import events as event_source
 from buywave.sources.snapshots import latest_rows
 from buywave.streaming.rates import event_rate
@@ -444,6 +447,25 @@ def daily_of_facts(spark, sf_dir):
     return from_facts(spark, sf_dir, daily_from_facts)
 
 
+@query("daily_run", ORACLES["daily_snapshot"])
+def rolled_daily_run(spark, sf_dir):
+    """Two runs of the daily job over the table as event files: the second takes in the last day, and a tenth of all
+    earlier events, which come late; the state is rolled over both."""
+    events = fixture.events(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    paths = [f"{base}/{name}" for name in ("events", "facts", "daily")]
+    vocabulary = ev.fit_vocabulary(loaded(spark, sf_dir))
+    last = events.agg(F.max(F.to_date("ts"))).first()[0]
+    if last is None:
+        return daily(spark, sf_dir)
+    late = (F.to_date("ts") >= F.lit(last)) | (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    made = None
+    for part, run_date in ((~late, last - dt.timedelta(days=1)), (late, last)):
+        events.filter(part).write.mode("append").parquet(paths[0])
+        made = daily_run(spark, *paths, run_date, vocabulary=vocabulary)
+    return join_trends(made, fixture.trend_days(spark, sf_dir))
+
+
 def plain_daily(spark, sf_dir):
     return daily_snapshot(loaded(spark, sf_dir), vocabulary=[])
 

@@ -15,7 +15,7 @@ from buywave.plans.daily import daily_run, load_trends
 from buywave.plans.snapshots import daily_from_facts, daily_snapshot, training_from_facts, training_snapshots
 from buywave.sources import snapshots as store
 from buywave.sources.events import load_events
-from buywave.sources.facts import read_facts, write_facts
+from buywave.sources.facts import ensure_fact_tables, read_fact_tables, read_facts, write_fact_tables, write_facts
 from query_catalog import fixtures as fixture
 from query_catalog.event_queries import loaded
 from tests.conftest import SMALL, day
@@ -139,3 +139,30 @@ def test_users_listing_and_records(spark, stored):
     assert others and all(0 <= r["purchase_proba"] <= 1 and r["invalid_fields"] == [] for r in others)
     lacking = score_records(snapshot.drop("total_events"), model).first()
     assert lacking["invalid_fields"] == ["total_events"] and lacking["days_to_next_pred"] is None
+
+
+def test_facts_by_user_need_no_exchange_by_user(spark, stored, tmp_path):
+    base, events, vocabulary = stored
+    buckets, name = 3, "laid_out"
+    ensure_fact_tables(spark, name, str(tmp_path), buckets)
+    try:
+        middle = dt.date(2024, 1, 20)
+        write_fact_tables(load_events(spark, str(base / "events"), end=middle), name, buckets)
+        for _ in range(2):  # a repeated run replaces its dates
+            write_fact_tables(load_events(spark, str(base / "events"), start=middle), name, buckets)
+        parts = read_fact_tables(spark, name)
+        built = training_from_facts(*parts, vocabulary=vocabulary)
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(user_id" not in plan and "Exchange hashpartitioning(date" in plan
+        assert rows(built) == rows(training_snapshots(events, vocabulary=vocabulary))
+        daily = daily_from_facts(*parts, vocabulary=vocabulary)
+        assert "Exchange hashpartitioning(user_id" not in daily._jdf.queryExecution().executedPlan().toString()
+        assert rows(daily) == rows(daily_snapshot(events, vocabulary=vocabulary))
+        early = read_fact_tables(spark, name, end=middle)
+        assert rows(daily_from_facts(*early, vocabulary=vocabulary)) == rows(
+            daily_snapshot(events.filter(F.col("date") <= middle), vocabulary=vocabulary)
+        )
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        for table in ("user_days", "user_items"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{table}")
