@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,17 @@ UNKNOWN = "und"
 #: A word is frequent if it has more than one in so many of all words.
 FREQUENT = 20_000
 #: Characters whose graph a task adds up at once, and words for each partition of edges.
-CHARS_AT_ONCE, WORDS_PER_PARTITION = 4_000_000, 1_000_000
+CHARS_AT_ONCE, WORDS_PER_PARTITION = 8_000_000, 1_000_000
 #: Edges that a task holds before it adds them up.
 ROWS_AT_ONCE = 1_000_000
 
 _PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
 _PLAIN = bytes(10 if _PIECE_END.match(bytes([c])) else 32 if c == 9 else c for c in range(256))
-_ARCS = "lang string, node string, next string, n bigint, frequent boolean"
-_ARC_TYPES = pa.schema(
-    [("lang", pa.string()), ("node", pa.string()), ("next", pa.string()), ("n", pa.int64()), ("frequent", pa.bool_())]
-)
+#: An arc is one string, since there are nearly as many as words: language, node and next word with tabs between
+#: them, and a line end in front where both words of the node are frequent. Words hold neither.
+_ARCS = "arc string, n bigint"
+_ARC_TYPES = pa.schema([("arc", pa.string()), ("n", pa.int64())])
+_HOT = "\n"
 
 
 # --- words of a task --------------------------------------------------------------------------
@@ -98,8 +100,8 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
     yield from held.items()
 
 
-def graph_of(words: Words, frequent: set[str]) -> Iterator[dict]:
-    """The arcs of one portion: words with their flow, pairs that end a piece, and edges."""
+def graph_of(lang: str, words: Words, frequent: set[str]) -> Iterator[pa.RecordBatch]:
+    """The arcs of one portion: edges, pairs that end a piece, and words with their flow."""
     names, number, piece = words.names, words.number, words.piece
     n = len(number)
     if not n:
@@ -110,29 +112,47 @@ def graph_of(words: Words, frequent: set[str]) -> Iterator[dict]:
     first = np.flatnonzero(joined)
     keys, node = np.unique(number[first] * len(names) + number[first + 1], return_inverse=True)
     w1, w2 = np.divmod(keys, len(names))
+    mark = quote(lang, safe="") + "\t"  # no tab or line end of its own
+    marks = pa.array([mark, _HOT + mark]).take(pa.array((often[w1] & often[w2]).astype(np.int64)))
     pair = pc.binary_join_element_wise(names.take(pa.array(w1)), names.take(pa.array(w2)), " ")
-    hot = often[w1] & often[w2]
+    pair = pc.binary_join_element_wise(marks, pair, "\t", "")
     goes_on = joined[first + 1]
     # Edges: a node and the word that follows it.
     edges, weight = np.unique(node[goes_on] * len(names) + number[first[goes_on] + 2], return_counts=True)
     at, w3 = np.divmod(edges, len(names))
-    yield {"node": pair.take(pa.array(at)), "next": names.take(pa.array(w3)), "n": weight, "frequent": hot[at]}
+    yield _arcs(pc.binary_join_element_wise(pair.take(pa.array(at)), names.take(pa.array(w3)), ""), weight)
     # Corrections: pieces that end with the node.
     ending = np.bincount(node[~goes_on], minlength=len(keys))
     ends = np.flatnonzero(ending)
-    yield {"node": pair.take(pa.array(ends)), "n": ending[ends], "frequent": hot[ends]}
+    yield _arcs(pair.take(pa.array(ends)), ending[ends])
     # A word: the flow of the nodes that begin with it, and the pieces that end with it.
     out = np.bincount(at, weights=weight, minlength=len(keys)).astype(np.int64) + ending
     flow = np.bincount(w1, weights=out, minlength=len(names)).astype(np.int64)
     flow += np.bincount(number[~joined], minlength=len(names))
-    yield {"node": names, "n": flow, "frequent": np.zeros(len(names), dtype=bool)}
+    yield _arcs(pc.binary_join_element_wise(mark, names, "\t", ""), flow)
 
 
-def _arc_batch(lang: str, columns: dict) -> pa.RecordBatch:
-    n = len(columns["n"])
-    given = {"lang": pa.repeat(lang, n), "next": pa.nulls(n, pa.string())} | columns
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f in _ARC_TYPES for c in [given[f.name]]]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARC_TYPES)
+def _arcs(arc: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([arc, pa.array(n, pa.int64())], schema=_ARC_TYPES)
+
+
+def flows_of(arcs: pa.Table, min_count: int) -> Iterator[pa.Table]:
+    """(lang, node, next, n) of summed arcs: the flows of nodes and words, without next, and the edges.
+
+    Those below ``min_count`` are left out, but not the flows of pairs of frequent words, which other tasks add to.
+    """
+    parts = pc.list_flatten(pc.split_pattern(arcs["arc"].combine_chunks(), "\t"))
+    lang, node, following = (parts.take(pa.array(np.arange(k, len(parts), 3))) for k in range(3))
+    edges = pa.table({"lang": lang, "node": node, "next": following, "n": arcs["n"]})
+    nodes = _added(edges, "lang", "node")
+    nodes = nodes.append_column("next", pa.nulls(len(nodes), pa.string())).select(edges.column_names)
+    for table, counts in ((nodes, pc.starts_with(nodes["lang"], _HOT)), (edges.filter(pc.not_equal(edges["next"], "")), False)):
+        kept = table.filter(pc.or_(counts, pc.greater_equal(table["n"], min_count)))
+        yield kept.set_column(0, "lang", pc.ascii_ltrim(kept["lang"], _HOT))
+
+
+def _added(table: pa.Table, *by: str) -> pa.Table:
+    return table.group_by(list(by)).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
 # --- over the table ---------------------------------------------------------------------------
@@ -176,36 +196,25 @@ def weighted_graph(texts: DataFrame, all_words: int, frequent: set[str], min_cou
 
     def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, bodies in portions(batches):
-            for columns in graph_of(words_of(bodies), frequent):
-                yield _arc_batch(lang, columns)
-
-    def added(tables: list[pa.Table]) -> pa.Table:
-        found = pa.concat_tables(tables).group_by(["lang", "node", "next", "frequent"]).aggregate([("n", "sum")])
-        return found.rename_columns({"n_sum": "n"}).select(_ARC_TYPES.names)
+            yield from graph_of(lang, words_of(bodies), frequent)
 
     def flows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         fresh = 0
         for batch in batches:
-            held.append(pa.Table.from_batches([batch.select(_ARC_TYPES.names)]))
+            held.append(pa.Table.from_batches([batch]))
             fresh += batch.num_rows
             if fresh >= ROWS_AT_ONCE:
-                held, fresh = [added(held)], 0
-        if not held:
-            return
-        edges = added(held)
-        nodes = edges.group_by(["lang", "node", "frequent"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-        # The flow of a frequent pair is whole only with that of other tasks.
-        nodes = nodes.filter(pc.or_(nodes["frequent"], pc.greater_equal(nodes["n"], min_count)))
-        nodes = nodes.append_column("next", pa.nulls(len(nodes), pa.string())).select(_ARC_TYPES.names)
-        heavy = pc.and_(pc.is_valid(edges["next"]), pc.greater_equal(edges["n"], min_count))
-        for table in (nodes, edges.filter(heavy)):
-            yield from table.cast(_ARC_TYPES).to_batches()
-
-    salt = F.when(F.col("frequent"), F.pmod(F.xxhash64("next"), F.lit(partitions))).otherwise(0)
-    dealt = texts.mapInArrow(arcs, _ARCS).withColumn("salt", salt).repartition(partitions, "lang", "node", "salt").drop("salt")
-    graph = materialize(dealt.mapInArrow(flows, _ARCS), "phrase-graph")
-    edges = graph.filter(F.col("next").isNotNull()).select("lang", "node", "next", "n")
+                held, fresh = [_added(pa.concat_tables(held), "arc")], 0
+        if held:
+            for table in flows_of(_added(pa.concat_tables(held), "arc"), min_count):
+                yield from table.to_batches()
+
+    # Arcs of one node meet in one task, but those of two frequent words are dealt by the third word too.
+    node = F.when(F.startswith("arc", F.lit(_HOT)), F.col("arc")).otherwise(F.substring_index("arc", "\t", 2))
+    found = texts.mapInArrow(arcs, _ARCS).repartition(partitions, node).mapInArrow(flows, "lang string, node string, next string, n bigint")
+    graph = materialize(found.withColumn("lang", F.url_decode("lang")), "phrase-graph")
+    edges = graph.filter(F.col("next").isNotNull())
     nodes = graph.filter(F.col("next").isNull()).groupBy("lang", F.col("node").alias("gram")).agg(F.sum("n").alias("n"))
     return edges, materialize(nodes.filter(F.col("n") >= min_count), "phrase-flows")
 

@@ -176,7 +176,7 @@ def phrase_docs(seed):
     for k in range(80):
         text = "".join(rng.choice(words) + rng.choice("      .,\t\n") for _ in range(rng.randint(0, 120)))
         text += ". " + passage if k % 3 == 0 else ""
-        docs.append((rng.choice(["en", "en", "en", "de", None, "und"]), text))
+        docs.append((rng.choice(["en", "en", "en", "de", None, "und", "x\ty é%+"]), text))
     return docs + [(None, None), ("fr", ""), ("fr", " \t. "), ("en", "of the " * 3000)]
 
 
