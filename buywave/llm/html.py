@@ -12,6 +12,7 @@ around the article.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import random
@@ -58,11 +59,7 @@ WIDTH = len(_TAGS) + len(_CLASS_WORDS) + _N_TEXT
 _TAG_AT = {t: k for k, t in enumerate(_TAGS)}
 
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
-      | <(/?)([a-zA-Z][^\s/>]*)([^>]*)> | <[!?/][^>]*>""",
-    re.S | re.X,
-)
+_OPEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 #: Every attribute is read, so that nothing inside a quoted value is taken for one.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -78,7 +75,7 @@ def _read_kinds(attributes: str) -> tuple[int, ...]:
             kinds += [_ROLES[value]] if value in _ROLES else []
         elif name in ("class", "id"):
             kinds += [_WORD_KIND[w] for w in re.split(r"[^a-z]+", value) if w in _WORD_KIND]
-    return tuple(kinds)
+    return tuple(sorted(set(kinds)))
 
 
 _remembered_kinds = functools.lru_cache(maxsize=4096)(_read_kinds)
@@ -88,28 +85,83 @@ def _kinds(attributes: str) -> tuple[int, ...]:
     return _remembered_kinds(attributes) if len(attributes) < _REMEMBERED else _read_kinds(attributes)
 
 
+class _TagEnds:
+    """Where the tags of a page end: at the first ``>`` outside quotes, or the first of all if there is none.
+
+    A search that fails reads up to a quote that is never closed, or to the page's end. Whatever tag begins
+    on that way outside the quotes fails there too, so the way is remembered: there are only a few such
+    searches, and finding all ends takes time in proportion to the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.failed: list[tuple[int, int, list[int], list[int]]] = []  # from, to, quotes' starts and ends
+
+    def end(self, begin: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``begin``; there is one ahead."""
+        page, at = self.page, begin
+        for start, stop, starts, ends in self.failed:
+            k = bisect.bisect_right(starts, begin) - 1
+            if start <= begin <= stop and (k < 0 or begin >= ends[k]):
+                return page.find(">", begin)
+        starts, ends = [], []
+        while (stop := page.find(">", at)) >= 0:
+            found = [x for x in (page.find('"', at, stop), page.find("'", at, stop)) if x >= 0]
+            if not found:
+                return stop
+            quote = min(found)
+            close = page.find(page[quote], quote + 1)
+            if close < 0:
+                break
+            starts.append(quote)
+            ends.append(close + 1)
+            at = close + 1
+        self.failed.append((begin, quote if stop >= 0 else len(page), starts, ends))
+        return page.find(">", begin)
+
+
 class _Blocks:
-    """Collects (text, characters inside links, open ancestors) for every leaf block."""
+    """Collects (text, characters inside links, distinct open ancestors that tell something, depth) for every leaf block.
+
+    What is open is kept by tag, so that no element costs a walk through all that are open.
+    """
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, tuple]] = []
+        self.blocks: list[tuple[str, int, tuple, int]] = []
         self.open: list[tuple[str, tuple[int, ...]]] = []
+        #: Places in ``open`` of every tag, of block elements, and of block elements that are no paragraphs.
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.hard_places: list[int] = []
+        self.telling: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.ancestors: tuple | None = ()
         self.pieces: list[str] = []
-        self.linked = self.links = self.unseen = 0
+        self.linked = self.links = self.unseen = self.depth = 0
 
     def read(self, page: str) -> None:
-        at = 0
-        while (m := _TOKEN.search(page, at)) is not None:
+        at, ends = 0, _TagEnds(page)
+        while (m := _OPEN.search(page, at)) is not None:
+            tag = m[2]
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                stop = end + 3 if end >= 0 else len(page)
+            elif m.start() > ends.last:  # no tag ends any more; a comment may begin, and then takes the rest
+                comment = page.find("<!--", m.end())
+                self.text(page[at : comment if comment >= 0 else len(page)])
+                at = len(page)
+                break
+            else:
+                stop = (ends.end(m.end()) if tag else page.find(">", m.end())) + 1
             if m.start() > at:
                 self.text(page[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
+            at = stop
             if tag:
                 tag = tag.lower()
-                if m[1] or m[4]:
+                if m[1]:
                     self.end_tag(tag)
                 else:
-                    self.start_tag(tag, m[3] or m[6] or "")
+                    self.start_tag(tag, page[m.end() : stop - 1])
                     if tag in _RAW_END:
                         end = _RAW_END[tag].search(page, at)
                         at = end.start() if end else len(page)
@@ -120,8 +172,9 @@ class _Blocks:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                ancestors = tuple([x for x in self.open if x[0] not in _INLINE or x[0] in _TAG_AT])
-                self.blocks.append((text, min(self.linked, len(text)), ancestors))
+                if self.ancestors is None:
+                    self.ancestors = tuple(self.telling)
+                self.blocks.append((text, min(self.linked, len(text)), self.ancestors, self.depth))
             self.pieces = []
         self.linked = 0
 
@@ -142,32 +195,57 @@ class _Blocks:
         if tag not in _INLINE:
             self.flush()
             self.close_until(_CLOSES.get(tag, _PARAGRAPH))
-        self.open.append((tag, _kinds(attributes) if "=" in attributes else ()))
+        self.push(tag, _kinds(attributes) if "=" in attributes else ())
+
+    def push(self, tag: str, kinds: tuple[int, ...]) -> None:
+        at = len(self.open)
+        self.open.append((tag, kinds))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in _INLINE:
+            self.block_places.append(at)
+            if tag != "p":
+                self.hard_places.append(at)
         self.links += tag == "a"
         self.unseen += tag in _UNSEEN
+        if tag not in _INLINE or tag in _TAG_AT:
+            self.depth += 1
+            if tag in _TAG_AT or kinds:
+                if (tag, kinds) not in self.telling:
+                    self.ancestors = None
+                self.telling[tag, kinds] = self.telling.get((tag, kinds), 0) + 1
 
     def close_until(self, tags: set[str]) -> None:
         """Close the innermost of ``tags``, if only inline elements and paragraphs lie above it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                return self.cut(k)
-            if self.open[k][0] not in _INLINE and self.open[k][0] != "p":
-                return None
+        innermost = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if innermost >= 0 and not (self.hard_places and self.hard_places[-1] > innermost):
+            self.cut(innermost)
 
     def end_tag(self, tag: str) -> None:
+        """Close the innermost element of this tag; an inline one only if no block element lies above it."""
         if tag not in _INLINE:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                return self.cut(k)
-            if tag in _INLINE and self.open[k][0] not in _INLINE:
-                return None
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        if tag not in _INLINE or not (self.block_places and self.block_places[-1] > at):
+            self.cut(at)
 
     def cut(self, k: int) -> None:
-        for tag, _ in self.open[k:]:
+        while len(self.open) > k:
+            tag, kinds = self.open.pop()
+            self.places[tag].pop()
+            for places in (self.block_places, self.hard_places):
+                if places and places[-1] == len(self.open):
+                    places.pop()
             self.links -= tag == "a"
             self.unseen -= tag in _UNSEEN
-        del self.open[k:]
+            if tag not in _INLINE or tag in _TAG_AT:
+                self.depth -= 1
+                if tag in _TAG_AT or kinds:
+                    self.telling[tag, kinds] -= 1
+                    if not self.telling[tag, kinds]:
+                        del self.telling[tag, kinds]
+                        self.ancestors = None
 
     def text(self, data: str) -> None:
         if self.unseen == 1 and self.in_head() and data.strip(" \t\n\f\r"):
@@ -178,7 +256,7 @@ class _Blocks:
                 self.linked += len(data)
 
 
-def leaf_blocks(html: str) -> list[tuple[str, int, tuple]]:
+def leaf_blocks(html: str) -> list[tuple[str, int, tuple, int]]:
     """Leaf blocks of a page in page order. Markup that breaks off is read as far as it goes."""
     parser = _Blocks()
     parser.read(html)
@@ -196,10 +274,10 @@ def _ancestor_features(ancestors: tuple) -> np.ndarray:
     return row
 
 
-def block_features(blocks: list[tuple[str, int, tuple]]) -> np.ndarray:
+def block_features(blocks: list[tuple[str, int, tuple, int]]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), dtype=np.float32)
     n = len(blocks)
-    for k, (text, linked, ancestors) in enumerate(blocks):
+    for k, (text, linked, ancestors, depth) in enumerate(blocks):
         row = out[k]
         row[: -_N_TEXT] = _ancestor_features(ancestors)
         words = text.count(" ") + 1
@@ -213,7 +291,7 @@ def block_features(blocks: list[tuple[str, int, tuple]]) -> np.ndarray:
             min(len(text) / words, 20) / 10,
             text.count("|") + text.count("»") + text.count("·") > 0,
             k / n,
-            len(ancestors) / 10,
+            depth / 10,
         )
     return out
 
@@ -371,6 +449,38 @@ class _Author:
         return "".join(self.html), self.labels
 
 
+    def old_page(self) -> tuple[str, list[int]]:
+        """A page whose parts are told apart by classes, ids and table cells only."""
+        r = self.rng
+        named = lambda tag, *names: f'<{tag} {r.choice(("class", "id"))}="{r.choice(names)}">'
+        self.raw(f"<html><head><title>{self.words(2, 8)}</title></head><body>")
+        if r.random() < 0.5:
+            self.plain_box(named("div", "header", "masthead", "top", "banner"), "</div>")
+        in_table = r.random() < 0.6
+        cell = "td" if in_table else "div"
+        self.raw("<table><tr>" if in_table else named("div", "wrapper", "page"))
+        if r.random() < 0.8:
+            self.raw(named(cell, "nav", "menu", "navigation", "sidebar"))
+            self.links(2, 8)
+            self.raw(f"</{cell}>")
+        self.raw(r.choice((f"<{cell}>", named(cell, "content", "main", "text", "story", "body"))))
+        self.story()
+        self.raw(f"</{cell}>")
+        if r.random() < 0.3:
+            self.box(named(cell, "sidebar", "related", "widget"), f"</{cell}>")
+        self.raw("</tr></table>" if in_table else "</div>")
+        if r.random() < 0.85:
+            start = r.choice(("&copy; ", "", "&copy; 2020 "))
+            self.plain_box(named("div", "footer", "foot", "bottom", "copyright", "legal") + start, "</div>")
+        self.raw("</body></html>")
+        return "".join(self.html), self.labels
+
+
+def labelled_old_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
+    rng = random.Random(seed)
+    return [_Author(rng).old_page() for _ in range(count)]
+
+
 def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
     rng = random.Random(seed)
     return [_Author(rng).page() for _ in range(count)]
@@ -379,7 +489,9 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
 def fit_extractor(pages: list[tuple[str, list[int]]] | None = None) -> crf.Chain:
     """Train the field on labelled pages: (html, label of each leaf block)."""
     matrices, labels, lengths = [], [], []
-    for html, marks in labelled_pages(TRAIN_PAGES, TRAIN_SEED) if pages is None else pages:
+    if pages is None:
+        pages = labelled_pages(TRAIN_PAGES, TRAIN_SEED) + labelled_old_pages(TRAIN_PAGES // 4, TRAIN_SEED + 1)
+    for html, marks in pages:
         blocks = leaf_blocks(html)
         if len(blocks) != len(marks):
             raise ValueError(f"{len(blocks)} blocks, {len(marks)} labels")
@@ -399,7 +511,7 @@ def extract_texts(pages: list[str], chain: crf.Chain) -> list[str]:
     lengths = np.array([len(x) for x in full], dtype=np.int64)
     scores = chain.scores(np.vstack([block_features(x) for x in full]))
     labels = iter(crf.viterbi(scores, chain.transition, lengths).tolist())
-    return ["\n".join([text for text, _, _ in blocks if next(labels)]) for blocks in split]
+    return ["\n".join([text for text, *_ in blocks if next(labels)]) for blocks in split]
 
 
 def extract_main_text(pages: DataFrame, chain: crf.Chain | None = None) -> DataFrame:

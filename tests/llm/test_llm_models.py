@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -78,10 +79,54 @@ def test_page_blocks():
     assert nested[0][1] == 2 and [t for t, _ in nested[0][2]] == ["nav"]
 
 
+@pytest.mark.parametrize("unit", ["<div>one word", '<a "', '<a ">" ', "<b></i>", "<p class='ad'>t", "<x1 class=ad><div>w ", "<!", "<ul><li>x</p>"])
+def test_long_pages_take_time_in_proportion(unit):
+    took = []
+    for size in (500_000, 5_000_000):
+        page = unit * (size // len(unit))
+        start = time.process_time()
+        html.block_features(html.leaf_blocks(page))
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * took[0] + 2
+
+
+def test_tags_end_outside_quotes():
+    assert [x[0] for x in html.leaf_blocks('<p title="a > b">x<p title=\'">\'>y<p title="z>w<p>v')] == ["x", "y", "w", "v"]
+    assert [x[0] for x in html.leaf_blocks("a<b>c</b><!-- d <p>e")] == ["ac"]
+
+
+HAND_MADE = {
+    "article in a table": (
+        "<html><head><title>T</title></head><body><table><tr><td class='nav'><ul><li><a href=/a>Start</a></li><li><a href=/b>Shop</a></li></ul></td>"
+        "<td class='content'><h1>How bread rises in the oven</h1><p>Yeast turns sugar into gas, and the gas lifts the dough while it is warm.</p>"
+        "<p>A hot oven sets the crumb before the gas can leave it again, so the loaf stays high.</p></td></tr></table>"
+        "<div class='footer'>© 2020 Bakers. All rights reserved.</div></body></html>",
+        ["How bread rises in the oven", "Yeast turns sugar into gas, and the gas lifts the dough while it is warm.",
+         "A hot oven sets the crumb before the gas can leave it again, so the loaf stays high."],
+    ),
+    "main without article": (
+        "<body><header class='masthead'><a href='/'>The Daily Pages</a></header><nav><a href=1>News</a> <a href=2>Sport</a></nav><main>"
+        "<h2>The river is back in its bed</h2><p>After three weeks of rain the water has gone down, the mayor said on Monday.</p>"
+        "<p>Most of the roads along the banks can be used again from tomorrow, but two bridges stay closed.</p></main>"
+        "<aside class='sidebar'><h3>Most read</h3><ul><li><a href=x>Ten tips</a></li></ul></aside>"
+        "<section id='comments'><h3>Comments</h3><div class='comment'><p>Thanks for writing this, I was there too.</p></div></section>"
+        "<footer><p>Imprint | Privacy | Terms</p></footer></body>",
+        ["The river is back in its bed", "After three weeks of rain the water has gone down, the mayor said on Monday.",
+         "Most of the roads along the banks can be used again from tomorrow, but two bridges stay closed."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", HAND_MADE)
+def test_hand_made_layouts(name):
+    page, wanted = HAND_MADE[name]
+    assert html.extract_texts([page], html.fit_extractor())[0] == "\n".join(wanted)
+
+
 def test_extractor_on_unseen_layouts():
     chain = html.fit_extractor()
     wrong = total = 0
-    for page, labels in html.labelled_pages(150, seed=123):
+    for page, labels in html.labelled_pages(150, seed=123) + html.labelled_old_pages(40, seed=124):
         blocks = html.leaf_blocks(page)
         assert len(blocks) == len(labels)
         wanted = "\n".join(b[0] for b, y in zip(blocks, labels) if y)

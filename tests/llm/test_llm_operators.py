@@ -1,6 +1,7 @@
 """Every operator and stage on Spark: brute force, and nulls, empties, ties, repeats, clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import textwrap
@@ -553,6 +554,29 @@ def test_quality_on_held_out_fold(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in tested)
 
 
+def test_quality_scores_equal_enumeration(spark):
+    """Every labelling of a document's lines, weighed by the field; then the mean of P(good) by line length."""
+    docs = small(spark, "documents")
+    chain = quality.fit_quality(docs, small(spark, "labels"))
+    found = {r.doc_id: r.score for r in quality.score_quality(docs, chain, ["doc_id"]).collect()}
+    compared = 0
+    for r in docs.collect():
+        lines = quality.lines_of(r.text)
+        if len(lines) > 9:
+            continue
+        scores = chain.scores(quality.line_features([lines]))
+        total, good = 0.0, [0.0] * len(lines)
+        for labels in itertools.product((0, 1), repeat=len(lines)):
+            weight = sum(scores[t][y] for t, y in enumerate(labels)) + sum(chain.transition[x][y] for x, y in zip(labels, labels[1:]))
+            total += math.exp(weight)
+            good = [g + math.exp(weight) * y for g, y in zip(good, labels)]
+        lengths = [len(x) + 1 for x in lines]
+        wanted = sum(g / total * n for g, n in zip(good, lengths)) / sum(lengths)
+        assert found[r.doc_id] == pytest.approx(wanted, abs=1e-6)
+        compared += 1
+    assert compared > 20
+
+
 def test_quality_awkward(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, 0), (7, 1), (None, 1), (4, None), (99, 1)], "doc_id bigint, quality int")
