@@ -42,11 +42,23 @@ def build_session(
     return configure(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    A warehouse on the driver's own disk is no such folder on a cluster, which is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder: ``spark.checkpoint.dir``, else one in the warehouse, which the
-    executors share as well."""
+    """Return the checkpoint folder: ``spark.checkpoint.dir``, else one in the warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        folder = shared_folder(spark)
+        sc.setCheckpointDir(folder if spark.conf.get("spark.checkpoint.dir", None) else f"{folder}/_checkpoints")
     return sc.getCheckpointDir()
