@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buywave.session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,12 +37,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the session ends."""
     path = f"{shared_folder(spark)}/llm-stages/{name}-{uuid.uuid4().hex}"

@@ -4,11 +4,12 @@ The test items form an inverted index whose postings are cut into blocks of item
 block it keeps the largest impact. Impacts are BM25 contributions divided by the item's score with
 itself, so an item that a passage holds whole scores 1. Every passage of every document is a query:
 
-1. Terms that so many items share that together they stay below ``SLACK`` in every item are not
-   essential: they alone cannot lift an item over the threshold.
-2. The block maxima of a passage's other terms are summed per block of items. Blocks whose sum plus the
-   slack stays below the threshold are skipped, which is the block-max test of WAND with the
-   threshold fixed.
+1. The most common terms of every item, up to ``SLACK`` of its score, are not essential. Only postings of
+   essential terms are walked. Their block maxima are summed for the pairs of text block and item block that they
+   name, sparsely; a passage's pair lives on if the sum and what is not essential can reach the threshold. This
+   is WAND's pivot, with the terms below it fixed in advance because the threshold is.
+2. The block maxima of all terms that the passage shares with the block are summed. Pairs below the threshold
+   are skipped, which is the block-max test.
 3. Items of the remaining blocks are scored exactly; all at or above the threshold are retrieved.
 4. A retrieved item counts if the document has enough of the 5-word shingles of its question and of
    its answer around the passage.
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 from buywave.llm.common import materialize, portions, ship, whole_text
 
 K1, B = 1.2, 0.75
-THRESHOLD, SLACK = 0.6, 0.1
+THRESHOLD, SLACK = 0.6, 0.5
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK_ITEMS = 2
 #: Words of an index entry at most; longer items have several entries.
 ENTRY_WORDS = 512
 #: Items whose index goes to every task at once; a larger benchmark is searched in several passes.
 INDEX_ITEMS, INDEX_CHARS = 50_000, 50_000_000
-#: (text block, item block) sums and characters held at once.
-SUMS_AT_ONCE, CHARS_AT_ONCE = 4_000_000, 1_000_000
+#: Impacts are added up as whole numbers, rounded up, of this unit.
+IMPACT_BITS = 16
+#: Postings, or terms of candidate pairs, and characters held at once.
+SUMS_AT_ONCE, CHARS_AT_ONCE = 1_000_000, 1_000_000
 
 _FOUND = pa.schema(
     [
@@ -70,8 +73,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of the texts in order, and each text's number of words.
 
     A word's hash is the sum of random numbers drawn for its bytes and their places. Places beyond
-    the last one share it, so some very long words may collide; whatever is found by hash is scored
-    by the words themselves.
+    the last one share it, so some very long words may collide. Words of equal hash are one term: a passage
+    may be retrieved for the other word, but the shingles, which are compared as words, then tell.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     inside = joined != 32
@@ -114,23 +117,24 @@ def contained(part: list[bytes], region: list[bytes]) -> float:
 
 @dataclass
 class Index:
-    """Postings per term: blocks of entries with their largest impacts, and entries with impacts."""
+    """Blocks of entries: the postings of their essential terms, their terms' largest impacts, and the entries."""
 
     items: list[tuple]  # (item id, question, answer), by item
     entry_item: np.ndarray
-    vocabulary: dict[bytes, int]
     impacts: list[dict[int, float]]  # per entry: term to impact
-    block_starts: np.ndarray  # per term, into the next two
-    block_of: np.ndarray
+    posting_starts: np.ndarray  # per term, into the next two
+    posting_block: np.ndarray  # blocks in which the term is essential
+    posting_max: np.ndarray  # its largest impact there, as a whole number
+    block_rest: np.ndarray  # what the other terms can add
+    block_starts: np.ndarray  # per block, into the next two
+    block_term: np.ndarray
     block_max: np.ndarray
-    block_slack: np.ndarray  # what the terms that are not essential can add
     text_block: int  # words
-    hashes: np.ndarray  # of the vocabulary, sorted, and the term of each
-    hash_term: np.ndarray
+    hashes: np.ndarray  # of the vocabulary, sorted; a term is a place in it
 
     @property
     def n_blocks(self) -> int:
-        return len(self.block_slack)
+        return len(self.block_starts) - 1
 
 
 def entries_of(question: list[bytes], answer: list[bytes]) -> Iterator[Counter]:
@@ -172,54 +176,58 @@ def build_index(
     known = statistics or Statistics.of(entries)
     lengths = np.array([sum(e.values()) for e in entries] or [1], dtype=np.float64)
     idf = {t: np.log(1 + (known.entries - known.holding[t] + 0.5) / (known.holding[t] + 0.5)) for t in df}
-    vocabulary = {t: k for k, t in enumerate(sorted(df, key=lambda t: (-df[t], t)))}
+    words = list(df)
+    hashes, term = np.unique(word_hashes(words)[0], return_inverse=True)
+    term_of = dict(zip(words, term.tolist()))
+    common = np.zeros(len(hashes), dtype=np.int64)
+    np.add.at(common, term, list(df.values()))
     impacts = []
     for entry, length in zip(entries, lengths):
         norm = K1 * (1 - B + B * length / known.mean_length)
-        raw = {vocabulary[t]: idf[t] * c * (K1 + 1) / (c + norm) for t, c in entry.items()}
+        raw: dict[int, float] = {}
+        for t, c in entry.items():
+            raw[term_of[t]] = raw.get(term_of[t], 0.0) + idf[t] * c * (K1 + 1) / (c + norm)
         whole = sum(raw.values())
         impacts.append({t: x / whole for t, x in raw.items()})
-    # Common terms first: not essential while no entry gets more than the slack from them.
-    given = np.zeros(max(n, 1))
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    for e, terms in enumerate(impacts):
-        for t, x in terms.items():
-            postings[t].append((e, x))
-    essential_from = 0
-    for t, found in enumerate(postings):
-        trial = given.copy()
-        for e, x in found:
-            trial[e] += x
-        if trial.max() > slack:
-            break
-        given, essential_from = trial, t + 1
-    n_blocks = -(-n // block_items)
-    block_slack = np.array([given[b * block_items : (b + 1) * block_items].max() for b in range(n_blocks)])
-    starts, blocks, maxima = [0], [], []
-    for t, found in enumerate(postings):
-        if t >= essential_from:
-            best: dict[int, float] = {}
-            for e, x in found:
-                best[e // block_items] = max(best.get(e // block_items, 0.0), x)
-            blocks += best.keys()
-            maxima += best.values()
-        starts.append(len(blocks))
-    hashes, _ = word_hashes(list(vocabulary))
-    by_hash = np.argsort(hashes)
+    starts, terms, maxima = [0], [], []
+    essential: list[tuple[int, int, float]] = []
+    rests = []
+    for b in range(-(-n // block_items)):
+        best: dict[int, float] = {}
+        needed: set[int] = set()
+        rest = 0.0
+        for entry_impacts in impacts[b * block_items : (b + 1) * block_items]:
+            common_part = 0.0
+            for t in sorted(entry_impacts, key=lambda t: (-common[t], t)):
+                x = entry_impacts[t]
+                best[t] = max(best.get(t, 0.0), x)
+                if t in needed or common_part + x > slack:
+                    needed.add(t)
+                else:
+                    common_part += x
+            rest = max(rest, common_part)
+        essential += [(t, b, best[t]) for t in needed]
+        rests.append(rest)
+        terms += best.keys()
+        maxima += best.values()
+        starts.append(len(terms))
+    essential.sort()
+    essential_term = np.array([t for t, _, _ in essential], dtype=np.int64)
     longest = max((len(x[1]) + len(x[2]) for x in split), default=0)
     longest = max(longest, known.longest)
     return Index(
         split,
         np.array(entry_item, dtype=np.int64),
-        vocabulary,
         impacts,
+        np.searchsorted(essential_term, np.arange(len(hashes) + 1)),
+        np.array([b for _, b, _ in essential], dtype=np.int64),
+        np.ceil(np.array([x for _, _, x in essential]) * (1 << IMPACT_BITS)).astype(np.int64),
+        np.array(rests),
         np.array(starts, dtype=np.int64),
-        np.array(blocks, dtype=np.int64),
+        np.array(terms, dtype=np.int64),
         np.array(maxima, dtype=np.float64),
-        block_slack,
         min(max(longest, 32), ENTRY_WORDS),
-        hashes[by_hash],
-        by_hash,
+        hashes,
     )
 
 
@@ -231,6 +239,8 @@ def search(texts: list[str], index: Index, threshold: float, block_items: int =
     """
     if not index.n_blocks:
         return []
+    if index.block_rest.max() >= threshold - 1e-6:
+        raise ValueError("the index leaves out terms that reach the threshold alone: build it with less slack")
     size = index.text_block
     hashes, n_words = word_hashes([_word_bytes(x) for x in texts])
     counts = -(-n_words // size)
@@ -238,59 +248,121 @@ def search(texts: list[str], index: Index, threshold: float, block_items: int =
     n_text = int(first_block[-1])
     place = np.minimum(np.searchsorted(index.hashes, hashes), len(index.hashes) - 1)
     known = np.flatnonzero(index.hashes[place] == hashes)
-    ids = index.hash_term[place[known]]
+    ids = place[known]
     # A word's text block: its place among its document's words, after the blocks of earlier documents.
     first_word = np.cumsum(n_words) - n_words
     document = np.searchsorted(first_word + n_words, known, side="right")
     text_block = (known - first_word[document]) // size + first_block[document]
     # A term counts once in a text block.
-    terms = len(index.hashes)
-    text_block, ids = np.divmod(np.unique(text_block * terms + ids), max(terms, 1))
+    n_terms = len(index.hashes)
+    held = np.unique(text_block * n_terms + ids)
     lasts = np.zeros(n_text, dtype=bool)
     lasts[first_block[1:][counts > 0] - 1] = True
     words: dict[int, list[bytes]] = {}
     best: dict[tuple[int, int], float] = {}
     answers: dict[tuple[int, int], tuple] = {}
-    step = max(SUMS_AT_ONCE // index.n_blocks, 1)
-    for begin in range(0, n_text, step):
-        # One text block more than is asked about: the last passage's second half.
-        end = min(begin + step, n_text)
-        lo, hi = np.searchsorted(text_block, [begin, min(end + 1, n_text)])
-        sums = _block_sums(ids[lo:hi], text_block[lo:hi] - begin, min(end + 1, n_text) - begin, index)
-        together = sums[: end - begin].copy()
-        follows = np.flatnonzero(~lasts[begin:end])
-        together[follows] += sums[follows + 1]
-        for passage, block in zip(*np.nonzero(together + index.block_slack >= threshold - 1e-9)):
-            passage = int(passage) + begin
-            stop = passage + 1 + (not lasts[passage])
-            a, b = np.searchsorted(text_block, [passage, stop])
-            terms = set(ids[a:b].tolist())
-            for entry in range(block * block_items, min((block + 1) * block_items, len(index.impacts))):
-                score = sum(x for t, x in index.impacts[entry].items() if t in terms)
-                if score >= threshold:
-                    doc = int(np.searchsorted(first_block, passage, side="right")) - 1
-                    item = int(index.entry_item[entry])
-                    if (doc, item) not in best or score > best[doc, item]:
-                        best[doc, item] = score
-                    if (doc, item) not in answers or min(answers[doc, item]) < OVERLAP:
-                        if doc not in words:
-                            words[doc] = words_of(texts[doc])
-                        found = _verified(words[doc], (passage - int(first_block[doc])) * size, index, item)
-                        answers[doc, item] = max(answers.get((doc, item), (0.0, 0.0)), found, key=min)
+    for passage, block in _likely(held, lasts, index, threshold):
+        a, b = np.searchsorted(held, [passage * n_terms, (passage + 1 + (not lasts[passage])) * n_terms])
+        terms = set((held[a:b] % n_terms).tolist())
+        for entry in range(block * block_items, min((block + 1) * block_items, len(index.impacts))):
+            score = sum(x for t, x in index.impacts[entry].items() if t in terms)
+            if score >= threshold:
+                doc = int(np.searchsorted(first_block, passage, side="right")) - 1
+                item = int(index.entry_item[entry])
+                if (doc, item) not in best or score > best[doc, item]:
+                    best[doc, item] = score
+                if (doc, item) not in answers or min(answers[doc, item]) < OVERLAP:
+                    if doc not in words:
+                        words[doc] = words_of(texts[doc])
+                    found = _verified(words[doc], (passage - int(first_block[doc])) * size, index, item)
+                    answers[doc, item] = max(answers.get((doc, item), (0.0, 0.0)), found, key=min)
     return [(d, i, best[d, i], *answers[d, i]) for d, i in sorted(best) if min(answers[d, i]) >= OVERLAP]
 
 
-def _block_sums(ids: np.ndarray, text_block: np.ndarray, n_text: int, index: Index) -> np.ndarray:
-    """Sum of block maxima for every (text block, item block)."""
-    starts = index.block_starts[ids]
-    lengths = index.block_starts[ids + 1] - starts
-    some = lengths > 0
-    starts, lengths, text_block = starts[some], lengths[some], text_block[some]
-    total = int(lengths.sum())
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every run, one run after the other."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def _slices(lengths: np.ndarray) -> Iterator[slice]:
+    """Neighbouring elements whose lengths are about SUMS_AT_ONCE together."""
     ends = np.cumsum(lengths)
-    flat = np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-    cell = np.repeat(text_block * index.n_blocks, lengths) + index.block_of[flat]
-    return np.bincount(cell, weights=index.block_max[flat], minlength=n_text * index.n_blocks).reshape(n_text, -1)
+    at = 0
+    while at < len(lengths):
+        limit = (ends[at - 1] if at else 0) + SUMS_AT_ONCE
+        stop = max(int(np.searchsorted(ends, limit, side="right")), at + 1)
+        yield slice(at, stop)
+        at = stop
+
+
+def _likely(held: np.ndarray, lasts: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int]]:
+    """The (passage, item block) pairs whose sum of block maxima reaches the threshold, in order.
+
+    ``held`` has the sorted keys text block x terms + term. A passage is a text block and the next one of its document.
+    """
+    n_terms = len(index.hashes)
+    text_block, term = np.divmod(held, max(n_terms, 1))
+    lengths = index.posting_starts[term + 1] - index.posting_starts[term]
+    need = np.ceil((threshold - 1e-6 - index.block_rest) * (1 << IMPACT_BITS)).astype(np.int64)
+    firsts = np.searchsorted(text_block, np.arange(len(lasts) + 1))
+    postings = np.concatenate([[0], np.cumsum(lengths)])[firsts]
+    for part in _slices(np.diff(postings)):
+        # One text block more than is asked about: the second half of the last passage.
+        rows = slice(firsts[part.start], firsts[min(part.stop + 1, len(lasts))])
+        cells, sums = _essential_sums(text_block[rows], term[rows], lengths[rows], index)
+        own, block = np.divmod(cells, index.n_blocks)
+        strong = 2 * sums >= need[block]  # one half of a passage that reaches it has half of it
+        own, block = own[strong], block[strong]
+        before = (own > part.start) & ~lasts[own - 1]
+        inside = own < part.stop
+        found = np.unique(np.concatenate([cells[strong][inside], cells[strong][before] - index.n_blocks]))
+        passage, block = np.divmod(found, index.n_blocks)
+        both = _value(found, cells, sums) + np.where(lasts[passage], 0, _value(found + index.n_blocks, cells, sums))
+        likely = both >= need[block]
+        yield from _block_max(passage[likely], block[likely], held, lasts, index, threshold)
+
+
+def _essential_sums(text_block: np.ndarray, term: np.ndarray, lengths: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells (text block x item blocks + item block) that essential terms touch, and the sums of their impacts."""
+    at = _runs(index.posting_starts[term], lengths)
+    keys = np.repeat(text_block * index.n_blocks, lengths) + index.posting_block[at]
+    # The impact rides in the key, so that a plain sort brings a cell's impacts together.
+    keys = np.sort(keys << (IMPACT_BITS + 1) | index.posting_max[at])
+    cells = keys >> (IMPACT_BITS + 1)
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    if not len(starts):
+        return cells, cells
+    return cells[starts], np.add.reduceat(keys & ((1 << (IMPACT_BITS + 1)) - 1), starts)
+
+
+def _value(keys: np.ndarray, ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key among the ordered ones, 0 if it is not there."""
+    if not len(ordered):
+        return np.zeros(len(keys), dtype=np.int64)
+    place = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return np.where(ordered[place] == keys, values[place], 0)
+
+
+def _block_max(
+    passage: np.ndarray, block: np.ndarray, held: np.ndarray, lasts: np.ndarray, index: Index, threshold: float
+) -> Iterator[tuple[int, int]]:
+    """Those pairs whose block maxima of all shared terms reach the threshold."""
+    n_terms = len(index.hashes)
+    starts = index.block_starts[block]
+    lengths = index.block_starts[block + 1] - starts
+    for part in _slices(lengths):
+        at = _runs(starts[part], lengths[part])
+        key = np.repeat(passage[part], lengths[part]) * n_terms + index.block_term[at]
+        there = _among(key, held)
+        there |= np.repeat(~lasts[passage[part]], lengths[part]) & _among(key + n_terms, held)
+        sums = np.add.reduceat(index.block_max[at] * there, np.cumsum(lengths[part]) - lengths[part])
+        for k in np.flatnonzero(sums >= threshold - 1e-9):
+            yield int(passage[part][k]), int(block[part][k])
+
+
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return ordered[place] == keys
 
 
 def _verified(words: list[bytes], start: int, index: Index, item: int) -> tuple[float, float]:
@@ -334,7 +406,9 @@ def statistics_for(part: list[tuple], counts: DataFrame) -> Statistics:
     return Statistics(n, whole["words"] / max(n, 1) if whole else 0.0, holding, whole["longest"] if whole else 0)
 
 
-def indexes(benchmark: DataFrame, max_items: int | None = None, max_chars: int | None = None) -> Iterator[Index]:
+def indexes(
+    benchmark: DataFrame, max_items: int | None = None, max_chars: int | None = None, *, slack: float = SLACK
+) -> Iterator[Index]:
     """Indexes that cover the benchmark: one if its measured size allows, else one per part.
 
     Scores and passages do not depend on the number of parts: all use the term statistics and the longest item
@@ -344,13 +418,13 @@ def indexes(benchmark: DataFrame, max_items: int | None = None, max_chars: int |
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(-(-n // (max_items or INDEX_ITEMS)), -(-chars // (max_chars or INDEX_CHARS)), 1)
     if parts == 1:
-        yield build_index([tuple(r) for r in items.collect()])
+        yield build_index([tuple(r) for r in items.collect()], slack=slack)
         return
     counts = materialize(term_counts(items), "benchmark-terms")
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for k in range(parts):
         rows = [tuple(r) for r in items.filter(part == k).collect()]
-        yield build_index(rows, statistics=statistics_for(rows, counts))
+        yield build_index(rows, slack=slack, statistics=statistics_for(rows, counts))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -364,7 +438,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text("text").alias("t"))
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     found = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, slack=min(SLACK, 0.8 * threshold)):
         sent = spark.sparkContext.broadcast(index)
 
         def query(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -387,7 +461,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     spark = docs.sparkSession
     ship(spark)
     columns = docs.columns
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, slack=min(SLACK, 0.8 * threshold)):
         sent = spark.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

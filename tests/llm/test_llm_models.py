@@ -247,3 +247,29 @@ def test_decontamination_equals_brute_force():
         found = {(d, index.items[i][0]) for d, i, *_ in decontamination.search(texts, index, 0.6, block_items)}
         assert found == brute_force(texts, items)
     assert decontamination.search(texts, decontamination.build_index([]), 0.6) == []
+
+
+@pytest.mark.parametrize("threshold, slack", [(0.6, 0.5), (0.6, 0.1), (0.3, 0.24)])
+def test_block_max_search_retrieves_what_plain_scores_retrieve(monkeypatch, threshold, slack):
+    """All (text, item) pairs by adding up the impacts of every passage, without pruning and without verification."""
+    monkeypatch.setattr(decontamination, "SUMS_AT_ONCE", 200)
+    monkeypatch.setattr(decontamination, "OVERLAP", 0.0)
+    rng = random.Random(int(100 * slack))
+    vocabulary = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 2) for k in range(60)]
+    line = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+    items = [(k, line(rng.randint(3, 30)) + ". " + line(rng.randint(1, 6))) for k in range(80)]
+    texts = [line(rng.randint(0, 300)) + " " + rng.choice(items)[1] + " " + line(40) for _ in range(25)] + ["", "w1"]
+    index = decontamination.build_index(items, slack=slack)
+    places = {h: k for k, h in enumerate(index.hashes.tolist())}
+    wanted = set()
+    for d, text in enumerate(texts):
+        hashes = decontamination.word_hashes([decontamination._word_bytes(text)])[0].tolist()
+        for at in range(0, len(hashes), index.text_block):
+            terms = {places[h] for h in hashes[at : at + 2 * index.text_block] if h in places}
+            for entry, impacts in enumerate(index.impacts):
+                if sum(x for t, x in impacts.items() if t in terms) >= threshold:
+                    wanted.add((d, int(index.entry_item[entry])))
+    assert {(d, i) for d, i, *_ in decontamination.search(texts, index, threshold)} == wanted and len(wanted) > 20
+    with pytest.raises(ValueError, match="slack"):
+        decontamination.search(texts, index, slack / 2)
