@@ -23,6 +23,8 @@ from buywave.llm.common import materialize, ship
 
 SCALE = 256
 SLAB_ROWS, BLOCK_ROWS, GROUP_QUERIES = 4096, 256, 2048
+#: Query groups whose k-th scores a task remembers.
+GROUPS_AT_ONCE = 64
 _PACKED = "ids binary, width int, body binary"
 
 
@@ -93,10 +95,18 @@ def _as_long(numbers: np.ndarray) -> np.ndarray:
     return numbers if numbers.dtype == object else numbers.astype(np.int64)
 
 
-def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block_rows: int = BLOCK_ROWS):
+def search_slab(
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    rows: np.ndarray,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    least: np.ndarray | None = None,
+):
     """The k best (query, row, score) within one slab: arrays (queries, k), filled up with -1.
 
-    Raises if a score among them does not fit a long."""
+    ``least`` are scores that k rows of other slabs reach already: what is below them is left out. Raises if a score among them does not fit a long."""
     exact = _exact_type(queries, rows)
     queries, rows = queries.astype(exact, copy=False), rows.astype(exact, copy=False)
     low = np.iinfo(np.int64).min
@@ -111,10 +121,11 @@ def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, row
     best_id = np.full((n, k), -1, dtype=np.int64)
     found = np.zeros((n, k), dtype=bool)
     active = np.arange(n)
+    least = np.full(n, low) if least is None else least
     for turn in range(n_blocks):
         which = order[active, turn]
         bound = _as_long(bounds[active, which])
-        still = ~found[active, k - 1] | (bound >= best[active, k - 1])
+        still = (~found[active, k - 1] | (bound >= best[active, k - 1])) & (bound >= least[active])
         active, which = active[still], which[still]
         if not len(active):
             break
@@ -124,7 +135,7 @@ def search_slab(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, row
             block_ids = ids[cuts[b]]
             is_other = block_ids[None, :] != query_ids[mine][:, None]
             # Only rows that can still enter are ranked.
-            enters = is_other & (~found[mine, k - 1][:, None] | (score >= best[mine, k - 1][:, None]))
+            enters = is_other & (~found[mine, k - 1][:, None] | (score >= best[mine, k - 1][:, None])) & (score >= least[mine][:, None])
             for q, hits in zip(mine[enters.any(axis=1)], enters[enters.any(axis=1)]):
                 at = np.flatnonzero(hits)
                 line = score[np.searchsorted(mine, q), at]
@@ -171,11 +182,17 @@ def top_k(
     cells = dealt.join(piled, ["width", "pile"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The k-th scores of the last few query groups: what a slab leaves behind prunes the task's next ones.
+        reached: dict[int, np.ndarray] = {}
         for batch in batches:
             for cell in batch.itertuples(index=False):
                 query_ids, queries = _unpacked(cell.query_ids, cell.query_body, cell.width)
                 ids, body = _unpacked(cell.ids, cell.body, cell.width)
-                best_id, best, found = search_slab(query_ids, queries, ids, body, k)
+                least = reached.pop(cell.group, np.full(len(query_ids), np.iinfo(np.int64).min))
+                best_id, best, found = search_slab(query_ids, queries, ids, body, k, least=least)
+                reached[cell.group] = np.where(found[:, k - 1], np.maximum(best[:, k - 1], least), least)
+                if len(reached) > GROUPS_AT_ONCE:
+                    del reached[next(iter(reached))]
                 query = np.repeat(np.arange(len(query_ids)), k).reshape(-1, k)
                 yield pd.DataFrame(
                     {"query_id": query_ids[query[found]], "query": query[found], "vec_id": best_id[found], "score": best[found]}
