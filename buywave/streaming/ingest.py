@@ -61,17 +61,15 @@ def file_source(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Add ``event`` (parsed fields), ``details`` (item and price out of the properties) and ``readable`` to rows
-    with a JSON text ``value``.
+    """Add ``event`` (parsed fields) and ``readable`` to rows with a JSON text ``value``.
 
     Readable means: a JSON object whose ``properties``, if given, is an object.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    # The one-element explodes keep later filters above the parse, so that each message, and its properties,
-    # is parsed once and not again for every condition.
+    # The one-element explode keeps later filters above the parse, so that each message is
+    # parsed once and not again for every condition.
     event = F.from_json("value", MESSAGE_SCHEMA, options)
     parsed = messages.select("*", F.explode(F.array(event)).alias("event"))
-    parsed = parsed.select("*", F.explode(F.array(F.from_json("event.properties", DETAIL_SCHEMA))).alias("details"))
     is_object = F.startswith(F.ltrim(F.col("event.properties")), F.lit("{"))
     readable = F.col("event").isNotNull() & F.col("event._corrupt").isNull() & F.coalesce(is_object, F.lit(True))
     return parsed.withColumn("readable", F.coalesce(readable, F.lit(False)))
@@ -114,6 +112,8 @@ def parse_time(text: Column, otherwise: Column) -> Column:
 
 def normalize_events(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The nine event columns from parsed messages with an ``ingest_ts`` column, and the columns ``keep``."""
+    # Item and price in one parse of the properties; the explode keeps it one.
+    parsed = parsed.select("*", F.explode(F.array(F.from_json("event.properties", DETAIL_SCHEMA))).alias("details"))
     event = {c: F.coalesce(F.col(f"event.{c}"), F.lit("")) for c in REQUIRED_MESSAGE_FIELDS}
     properties = F.coalesce(F.col("event.properties"), F.lit("{}"))
     return parsed.select(
