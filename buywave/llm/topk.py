@@ -2,12 +2,13 @@
 
 Vectors become integers. Rows are cut into slabs by id range and slabs into blocks; every block keeps its
 forward index (the rows' components) and, per dimension, the largest and smallest component. A query's
-bound for a block is the sum over dimensions of what the block's extremes could give at most. Per
-query, blocks are scored in the order of their bounds until the next bound is below the k-th best
-score; an equal bound is still scored, since a tie may go to a smaller id.
+bound for a block is the sum over dimensions of what the block's extremes could give at most. Blocks are
+scored in the order of their largest bounds, each for the queries whose bound for it is not below their
+k-th best score; an equal bound is still scored, since a tie may go to a smaller id.
 
-Work is dealt as a grid of query groups and slabs: slabs fall on piles by a hash, and a query group goes to
-every pile. Each cell returns its k best per query, and the best of those are the answer.
+Work is dealt as a grid: a task has some query groups and a pile of slabs, both read from where they are
+stored, so that no query is shuffled to every slab. A task returns its k best per query over the whole pile,
+and the best of those are the answer.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from buywave.llm.common import materialize, ship
 
 SCALE = 256
 SLAB_ROWS, BLOCK_ROWS, GROUP_QUERIES = 4096, 256, 2048
-#: Query groups whose k-th scores a task remembers.
-GROUPS_AT_ONCE = 64
+#: Slabs that a task searches at most, and piles a core where there are fewer.
+SLABS_AT_ONCE, PILES_A_CORE = 64, 4
+LOW = np.iinfo(np.int64).min
 _PACKED = "ids binary, width int, body binary"
 
 
@@ -82,12 +84,12 @@ def _largest(matrix: np.ndarray) -> int:
 
 
 def _exact_type(queries: np.ndarray, rows: np.ndarray) -> type:
-    """A type in which all scores and bounds of the two are exact. Sums below 2**53 are so in floating
-    point, which is far the fastest; then longs, then Python's integers."""
+    """A type in which all scores and bounds of the two are exact. Sums below 2**24 or 2**53 are so in
+    floating point, which is far the fastest; then longs, then Python's integers."""
     most = _largest(queries) * _largest(rows) * rows.shape[1]
-    largest = max(_largest(queries), _largest(rows))
-    if max(most, largest) < 1 << 52:
-        return np.float64
+    largest = max(most, _largest(queries), _largest(rows))
+    if largest < 1 << 52:
+        return np.float32 if largest < 1 << 24 else np.float64
     return np.int64 if most < 1 << 62 else object
 
 
@@ -95,6 +97,39 @@ def _as_long(numbers: np.ndarray) -> np.ndarray:
     return numbers if numbers.dtype == object else numbers.astype(np.int64)
 
 
+def none_found(n: int, k: int, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of n queries before any row is seen: row ids, scores, and which places are taken."""
+    return np.full((n, k), -1, dtype=np.int64), np.full((n, k), LOW, dtype=kind), np.zeros((n, k), dtype=bool)
+
+
+def _limit(best: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The scores that a row must reach to enter."""
+    return np.where(found[:, -1], best[:, -1], LOW)
+
+
+def enter(held: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    """Puts rows into the k best ``held``; equal scores go to the smaller id."""
+    if not len(query):
+        return
+    best_id, best, found = held
+    k = best.shape[1]
+    seen = np.zeros(len(best), dtype=bool)
+    seen[query] = True
+    old, place = np.nonzero(found & seen[:, None])
+    query = np.concatenate([old, query])
+    ids = np.concatenate([best_id[old, place], ids])
+    scores = np.concatenate([best[old, place], scores])
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(query)), key=lambda j: (query[j], -scores[j], ids[j])))
+    else:
+        order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    top = rank < k
+    at = query[top], rank[top]
+    best_id[at], best[at], found[at] = ids[top], scores[top], True
+
+
 def search_slab(
     query_ids: np.ndarray,
     queries: np.ndarray,
@@ -109,42 +144,32 @@ def search_slab(
     ``least`` are scores that k rows of other slabs reach already: what is below them is left out. Raises if a score among them does not fit a long."""
     exact = _exact_type(queries, rows)
     queries, rows = queries.astype(exact, copy=False), rows.astype(exact, copy=False)
-    low = np.iinfo(np.int64).min
-    n_blocks = -(-len(ids) // block_rows)
-    cuts = [slice(b * block_rows, (b + 1) * block_rows) for b in range(n_blocks)]
+    cuts = [slice(b, b + block_rows) for b in range(0, len(ids), block_rows)]
     highest = np.stack([rows[c].max(axis=0) for c in cuts])
     lowest = np.stack([rows[c].min(axis=0) for c in cuts])
     bounds = np.maximum(queries, 0) @ highest.T + np.minimum(queries, 0) @ lowest.T
-    order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(query_ids)
-    best = np.full((n, k), low, dtype=object if exact is object else np.int64)
-    best_id = np.full((n, k), -1, dtype=np.int64)
-    found = np.zeros((n, k), dtype=bool)
-    active = np.arange(n)
-    least = np.full(n, low) if least is None else least
-    for turn in range(n_blocks):
-        which = order[active, turn]
-        bound = _as_long(bounds[active, which])
-        still = (~found[active, k - 1] | (bound >= best[active, k - 1])) & (bound >= least[active])
-        active, which = active[still], which[still]
-        if not len(active):
-            break
-        for b in np.unique(which):
-            mine = active[which == b]
-            score = _as_long(queries[mine] @ rows[cuts[b]].T)
-            block_ids = ids[cuts[b]]
-            is_other = block_ids[None, :] != query_ids[mine][:, None]
-            # Only rows that can still enter are ranked.
-            enters = is_other & (~found[mine, k - 1][:, None] | (score >= best[mine, k - 1][:, None])) & (score >= least[mine][:, None])
-            for q, hits in zip(mine[enters.any(axis=1)], enters[enters.any(axis=1)]):
-                at = np.flatnonzero(hits)
-                line = score[np.searchsorted(mine, q), at]
-                s = np.concatenate([best[q][found[q]], line])
-                i = np.concatenate([best_id[q][found[q]], block_ids[at]])
-                top = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k] if exact is object else np.lexsort((i, -s))[:k]
-                best[q, : len(top)], best_id[q, : len(top)], found[q, : len(top)] = s[top], i[top], True
+    held = best_id, best, found = none_found(n, k, object if exact is object else np.int64)
+    least = np.full(n, LOW) if least is None else least
+    for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+        # Rounding to ``exact`` moves no limit over a score: those of these rows are whole in it.
+        limit = np.maximum(_limit(best, found), least).astype(exact)
+        mine = np.flatnonzero(bounds[:, b] >= limit)
+        if not len(mine):
+            continue
+        every = len(mine) == n
+        score = (queries if every else queries[mine]) @ rows[cuts[b]].T
+        # Only rows that can still enter are ranked.
+        enters = score >= limit[mine][:, None]
+        enters &= ids[cuts[b]][None, :] != query_ids[mine][:, None]
+        if exact is not object and score.shape[1] > k and np.count_nonzero(enters) > 4 * k * len(mine):
+            place = score.shape[1] - k
+            own = np.where(enters, score, score.dtype.type(LOW))
+            enters &= own >= np.partition(own, place, axis=1)[:, place][:, None]
+        query, row = np.nonzero(enters)
+        enter(held, mine[query], ids[cuts[b]][row], _as_long(score[query, row]))
     if exact is object:
-        if any(not low <= x < 1 << 63 for x in best[found]):
+        if any(not LOW <= x < 1 << 63 for x in best[found]):
             raise OverflowError("a score does not fit a long")
         best = best.astype(np.int64)
     return best_id, best, found
@@ -167,36 +192,41 @@ def top_k(
     candidate, but its repeats do not find each other. Scores are exact at any size; a component or a score
     that does not fit a long is an error.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     rows = materialize(quantized(vectors, id_column, vector_column), "quantized")
     # Only the number of slabs comes to the driver; their rows are never numbered in one place.
     slabs = materialize(_pack(rows, slab_rows), "slabs")
-    piles = max(slabs.count(), 1)
-    dealt = (
-        _pack(rows.filter(is_query), group_queries)
-        .select("width", F.xxhash64("ids", "body").alias("group"), F.col("ids").alias("query_ids"), F.col("body").alias("query_body"))
-        .withColumn("pile", F.explode(F.sequence(F.lit(0), F.lit(piles - 1))))
+    piled = slabs.repartition(piles(slabs.count(), spark.sparkContext.defaultParallelism))
+    groups = materialize(_pack(rows.filter(is_query), group_queries), "query groups").select(
+        "width", F.xxhash64("ids", "body").alias("group"), F.col("ids").alias("query_ids"), F.col("body").alias("query_body")
     )
-    piled = slabs.withColumn("pile", F.pmod(F.xxhash64("width", "ids", "body"), F.lit(piles)).cast("int"))
-    # Every query group meets every slab of its width, as the operator is asked to.
-    cells = dealt.join(piled, ["width", "pile"])
+    # Every query group meets every slab of its width, as the operator is asked to. A task pairs a part of the
+    # one with a pile of the other; nothing is copied to be shuffled.
+    cells = groups.hint("shuffle_replicate_nl").join(piled, "width")
+
+    def found_rows(group: int, query_ids: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        best_id, best, found = held
+        query, place = np.nonzero(found)
+        found_ids = {"query_id": query_ids[query], "query": query, "vec_id": best_id[query, place], "score": best[query, place]}
+        return pd.DataFrame(found_ids).assign(group=group)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The k-th scores of the last few query groups: what a slab leaves behind prunes the task's next ones.
-        reached: dict[int, np.ndarray] = {}
+        # The cells of a query group follow each other: its best rows are held from slab to slab, prune the next ones and leave once.
+        last, query_ids, queries, held = None, None, None, None
         for batch in batches:
             for cell in batch.itertuples(index=False):
-                query_ids, queries = _unpacked(cell.query_ids, cell.query_body, cell.width)
+                if last != (cell.group, cell.width):
+                    if held is not None:
+                        yield found_rows(last[0], query_ids, held)
+                    query_ids, queries = _unpacked(cell.query_ids, cell.query_body, cell.width)
+                    last, held = (cell.group, cell.width), none_found(len(query_ids), k)
                 ids, body = _unpacked(cell.ids, cell.body, cell.width)
-                least = reached.pop(cell.group, np.full(len(query_ids), np.iinfo(np.int64).min))
-                best_id, best, found = search_slab(query_ids, queries, ids, body, k, least=least)
-                reached[cell.group] = np.where(found[:, k - 1], np.maximum(best[:, k - 1], least), least)
-                if len(reached) > GROUPS_AT_ONCE:
-                    del reached[next(iter(reached))]
-                query = np.repeat(np.arange(len(query_ids)), k).reshape(-1, k)
-                yield pd.DataFrame(
-                    {"query_id": query_ids[query[found]], "query": query[found], "vec_id": best_id[found], "score": best[found]}
-                ).assign(group=cell.group)
+                best_id, best, found = search_slab(query_ids, queries, ids, body, k, least=_limit(held[1], held[2]))
+                query, place = np.nonzero(found)
+                enter(held, query, best_id[query, place], best[query, place])
+        if held is not None:
+            yield found_rows(last[0], query_ids, held)
 
     found = cells.select("group", "width", "query_ids", "query_body", "ids", "body").mapInPandas(
         search, "query_id bigint, query int, vec_id bigint, score bigint, group bigint"
@@ -204,3 +234,8 @@ def top_k(
     per_query = Window.partitionBy("group", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(per_query))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def piles(slabs: int, cores: int) -> int:
+    """Parts into which the slabs are dealt: some a core, and more where a part would have too many slabs."""
+    return max(1, min(slabs, cores * PILES_A_CORE), -(-slabs // SLABS_AT_ONCE))
